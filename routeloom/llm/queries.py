@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from routeloom.llm import mixing, sharding
+from routeloom.llm import chat, licenses, mixing, pii, quality_rules, sharding
 
 QUERIES = {
     "op2_mixing": mixing.query,
+    "op3_quality_rules": quality_rules.query,
     "op4_sharding": sharding.query,
+    "op5_chat": chat.query,
+    "op7_pii": pii.query,
+    "op9_licenses": licenses.query,
 }
 
 SQL = {
     "op2_mixing": mixing.SQL,
     "op4_sharding": sharding.SQL,
+    "op5_chat": chat.SQL,
+    "op9_licenses": licenses.SQL,
 }

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from routeloom.llm import chat, licenses, mixing, pii, quality_rules, sharding
+from routeloom.llm import chat, decontamination, licenses, mixing, pii, quality_model, quality_rules, sharding
 
 QUERIES = {
+    "op1_quality_model": quality_model.query,
     "op2_mixing": mixing.query,
     "op3_quality_rules": quality_rules.query,
     "op4_sharding": sharding.query,
     "op5_chat": chat.query,
+    "op6_decontamination": decontamination.query,
     "op7_pii": pii.query,
     "op9_licenses": licenses.query,
 }

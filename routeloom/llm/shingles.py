@@ -93,10 +93,10 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, k: int, *, short: bool
             if m:
                 parts.append(total[a : a + m])
             elif b > a:
-                h = _U(b - a)
-                for w in words[a:b]:
-                    h = mix(np.array([h * _BASE + w], np.uint64))[0]
-                parts.append(np.array([h], np.uint64))
+                h = np.array([b - a], np.uint64)
+                for i in range(a, b):
+                    h = mix(h * _BASE + words[i : i + 1])
+                parts.append(h)
         return np.concatenate(parts), out
     full = np.flatnonzero(n)
     take = np.repeat(bounds[full] - np.concatenate([[0], np.cumsum(n[full])[:-1]]), n[full]) + np.arange(n.sum())

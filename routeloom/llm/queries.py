@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from routeloom.llm import chat, decontamination, licenses, mixing, pii, quality_model, quality_rules, sharding, token_shards
+from routeloom.llm import chat, decontamination, jaccard_join, licenses, mixing, pii, quality_model, quality_rules, sharding, token_shards
 
 QUERIES = {
     "op1_quality_model": quality_model.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_chat": chat.query,
     "op6_decontamination": decontamination.query,
     "op7_pii": pii.query,
+    "op8_jaccard_join": jaccard_join.query,
     "op9_licenses": licenses.query,
     "op10_token_shards": token_shards.query,
 }

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +64,35 @@ def small_arrow_batches(spark: SparkSession, rows: int = 256) -> None:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+#: Bits of a key bitmap, at most: 16 MB. With more keys it lets more rows through, and loses none.
+BITMAP_BITS = 1 << 27
+
+
+def split_by_keys(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` that may have a key in ``keys`` (one column), and those that surely have none, without a shuffle.
+
+    A bitmap of the keys' hashes is made by aggregation and broadcast; its size has a fixed bound.
+    """
+    spark = rows.sparkSession
+    bits = min(BITMAP_BITS, 1 << max(10, (16 * keys.count()).bit_length()))
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    at = slot(F.col(keys.columns[0]))
+    words = keys.select(at.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 AS int))")).alias("b"))
+    found = words.toPandas()
+    table = np.zeros(bits // 64, np.int64)
+    table[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64)
+    shared = spark.sparkContext.broadcast(table)
+    schema, columns = rows.schema, rows.columns
+
+    def side(wanted: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                s = batch.column(len(columns)).to_numpy()
+                hit = (shared.value[s >> 6] >> (s & 63) & 1).astype(bool)
+                yield batch.select(range(len(columns))).filter(pa.array(hit == wanted))
+
+        return rows.withColumn("_rl_slot", slot(F.col(key))).mapInArrow(run, schema)
+
+    return side(True), side(False)

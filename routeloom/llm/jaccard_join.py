@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routeloom.llm.common import documents, materialise, small_arrow_batches
+from routeloom.llm.common import documents, materialise, small_arrow_batches, split_by_keys
 from routeloom.llm.components import components
 from routeloom.llm.shingles import SPACE, mix, shingles_of
 
@@ -227,8 +227,9 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(TILE_TEXTS), F.sum("n") / F.lit(TILE_SHINGLES))).alias("tiles")
     )
     needed = placed.join(tiles, "group").withColumn("tile", F.pmod(F.xxhash64("rid"), F.col("tiles")))
+    grouped, _ = split_by_keys(texts, "_rl_key", placed.select("_rl_key"))  # few texts are in groups; only they move
     sets = _shingle_sets(
-        texts.withColumnRenamed("doc_id", "least_id").withColumn("_rl_id", F.coalesce("least_id", F.lit(-1).cast(dict(docs.dtypes)["doc_id"])))
+        grouped.withColumnRenamed("doc_id", "least_id").withColumn("_rl_id", F.coalesce("least_id", F.lit(-1).cast(dict(docs.dtypes)["doc_id"])))
         .join(
             needed.select("_rl_key", F.coalesce("least_id", F.lit(-1).cast(dict(docs.dtypes)["doc_id"])).alias("_rl_id"), "group", "tile", "tiles", "rid", "copies"),
             ["_rl_key", "_rl_id"],
@@ -279,11 +280,14 @@ def drop_similar(docs: DataFrame) -> DataFrame:
     rows = docs.withColumn("_rl_key", key)
     none = F.lit(-(2**62)).cast(dict(docs.dtypes)["doc_id"])
     match = (F.col("_rl_key") == F.col("_rl_k")) & (F.coalesce("doc_id", none) == F.coalesce("_rl_id", none))
-    stays = rows.join(keep.withColumnRenamed("_rl_key", "_rl_k"), match, "left_semi")
+    contested = classes.join(classes.groupBy("root").count(), "root").filter("count > 1 OR copies > 1").select("_rl_key")
+    maybe, alone = split_by_keys(rows, "_rl_key", contested)
+    stays = maybe.join(keep.withColumnRenamed("_rl_key", "_rl_k"), match, "left_semi")
     unique = stays.groupBy("_rl_key").count().filter("count > 1").isEmpty()
     stays = stays if unique else stays.dropDuplicates(["_rl_key"])
-    blank = rows.filter(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
-    return stays.unionByName(blank).select(*[F.col(f"`{c}`") for c in docs.columns])
+    has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    stays = stays.unionByName(alone.filter(has_words))
+    return stays.unionByName(rows.filter(~has_words)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir):

@@ -1 +1 @@
-"""sinks"""
+"""Writers of run artifacts and exports."""

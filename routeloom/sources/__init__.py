@@ -1 +1 @@
-"""sources"""
+"""Readers of source repositories and of stored JSON artifacts."""

@@ -100,3 +100,58 @@ def representative(facts: DataFrame, by: list, spread: str, order: list, k: int)
     """Up to ``k`` rows per group, one for each value of ``spread``, in order."""
     one = top_k(facts, [*by, spread], order, 1).drop("rank")
     return top_k(one, by, order, k)
+
+
+# Directories that a repository map leaves out, words that tell of folders, manifests, entry points, and suffixes of text.
+MAP_SKIPPED = (
+    ".git", "node_modules", "dist", "build", ".next", "coverage", ".venv", "venv", "__pycache__", ".pytest_cache", ".mypy_cache", ".ruff_cache", "target", "out", "bin", "obj", "vendor",
+)
+ROUTE_WORDS = ("routes", "router", "routers", "api", "apis", "endpoints")
+CONTROLLER_WORDS = ("controllers", "controller", "handlers", "views")
+BACKEND_WORDS = ("routes", "router", "routers", "api", "apis", "controllers", "controller", "server", "backend", "app", "src", "handlers", "views", "endpoints")
+SIDE_WORDS = ("docs", "test", "tests", "__tests__", "examples", "fixtures", "mocks")
+MAP_MANIFESTS = (
+    "package.json", "tsconfig.json", "nest-cli.json", "pyproject.toml", "requirements.txt", "setup.py", "manage.py", "pom.xml", "build.gradle", "settings.gradle", "go.mod", "cargo.toml", "docker-compose.yml", "dockerfile",
+)
+ENTRY_POINTS = ("app.ts", "app.js", "server.ts", "server.js", "main.py", "app.py", "manage.py", "application.java", "main.go")
+TEXT_SUFFIXES = (
+    ".py", ".js", ".ts", ".jsx", ".tsx", ".java", ".go", ".rb", ".php", ".cs", ".kt", ".json", ".toml", ".yaml", ".yml", ".xml", ".md", ".rst",
+)
+
+
+def is_entry_point(path: Column) -> Column:
+    low = F.lower(path)
+    return basename(low).isin(*ENTRY_POINTS) | low.contains("src/main")
+
+
+def _of_map(files: DataFrame) -> DataFrame:
+    """Files below no skipped directory, in any case of its name, with their folder."""
+    folders = F.slice(F.split(F.lower("path"), "/"), F.lit(1), F.size(F.split("path", "/")) - 1)
+    kept = files.filter(~F.arrays_overlap(folders, F.array(*map(F.lit, MAP_SKIPPED))))
+    return kept.withColumn("folder", F.coalesce(F.nullif(F.regexp_extract("path", "^(.*)/[^/]*$", 1), F.lit("")), F.lit(".")))
+
+
+def folder_map(files: DataFrame) -> DataFrame:
+    """``repo, folder, depth, files, signals, is_backend, is_route, is_controller`` of the folders that hold files, signals from the words in their path."""
+    parts = F.filter(F.split(F.lower("folder"), "/"), lambda p: (p != "") & (p != "."))
+    has = lambda words: F.arrays_overlap(F.col("_parts"), F.array(*map(F.lit, words)))
+    told = F.array(*map(F.lit, sorted({*BACKEND_WORDS, *SIDE_WORDS})))
+    counted = _of_map(files).groupBy("repo", "folder").agg(F.count(F.lit(1)).alias("files")).withColumn("_parts", parts)
+    return counted.select(
+        "repo", "folder", F.size("_parts").alias("depth"), "files", F.transform(F.array_sort(F.array_intersect("_parts", told)), lambda p: F.concat(F.lit("path:"), p)).alias("signals"),
+        has(BACKEND_WORDS).alias("is_backend"), has(ROUTE_WORDS).alias("is_route"), has(CONTROLLER_WORDS).alias("is_controller"),
+    )
+
+
+def repository_map(files: DataFrame) -> DataFrame:
+    """Per repo: ``total_files, included, skipped, manifests, entry_points``; files without a suffix are included, of others those of text.
+
+    Manifests and entry points are few names among many files, so only they are gathered.
+    """
+    ext, name = suffix(F.col("path")), basename(F.lower("path"))
+    rows = _of_map(files).withColumn("_in", (ext == "") | ext.isin(*TEXT_SUFFIXES))
+    listed = lambda cond: F.array_sort(F.collect_set(F.when(cond, F.col("path"))))
+    return rows.groupBy("repo").agg(
+        F.count(F.lit(1)).alias("total_files"), F.count_if("_in").alias("included"), F.count_if(~F.col("_in")).alias("skipped"),
+        listed(F.col("_in") & name.isin(*MAP_MANIFESTS)).alias("manifests"), listed(F.col("_in") & is_entry_point(F.col("path"))).alias("entry_points"),
+    )

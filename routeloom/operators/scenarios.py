@@ -116,3 +116,62 @@ def scenario_cap(method: Column, path: Column) -> Column:
     """How many scenarios an endpoint may have."""
     low = F.lower(F.coalesce(path, F.lit("")))
     return F.when(kinds.any_of(low, ("/health", "/ready", "/live", "/ping", "/status")), 2).when(F.upper(F.coalesce(method, F.lit("GET"))).isin("POST", "PUT", "PATCH", "DELETE"), 12).otherwise(8)
+
+
+#: Validation scenarios that a contract's body gives, and sink scenarios, at most.
+MAX_BODY_SCENARIOS, MAX_SINK_SCENARIOS = 5, 4
+# Names of response fields that must not be shown.
+SENSITIVE = ("password", "token", "secret", "api_key", "password_hash")
+_ROW = "array<struct<category:string,name:string,summary:string,priority:string,status:string,contract_ref:string>>"
+
+
+def contract_scenarios(contracts: DataFrame) -> DataFrame:
+    """``endpoint_id, pos, category, name, summary, priority, status, contract_ref``: what a contract asks to be tested, each name once.
+
+    ``contracts``: endpoint_id, method, path, body_fields (array of struct(name, type, format, required)), path_params and query_params (array of struct(name, type, required)),
+    has_auth, statuses, response_fields (array of strings), sinks (array of kinds). Nulls count as empty.
+    """
+    fields = "array<struct<name:string,type:string,format:string,required:boolean>>"
+    params = "array<struct<name:string,type:string,required:boolean>>"
+    c = lambda name, kind: F.coalesce(F.col(name), F.array().cast(kind))
+    body, in_path, query, statuses = c("body_fields", fields), c("path_params", params), c("query_params", params), c("statuses", "array<string>")
+    shown, sinks = c("response_fields", "array<string>"), c("sinks", "array<string>")
+    m = F.upper(F.coalesce("method", F.lit("ANY")))
+    stem = F.concat(F.lower(m), F.lit("_"), routes.route_token(F.col("path")), F.lit("_"))
+    target = F.concat_ws(" ", m, F.col("path"))
+
+    def row(category, name, summary, priority, status, ref):
+        as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
+        return F.struct(
+            as_col(category).alias("category"), F.concat(stem, as_col(name)).alias("name"), as_col(summary).alias("summary"), as_col(priority).alias("priority"), as_col(status).cast("string").alias("status"), as_col(ref).cast("string").alias("contract_ref")
+        )
+
+    named = lambda pattern, p: F.replace(F.lit(pattern), F.lit("{}"), p["name"])
+    ok = F.coalesce(F.try_element_at(F.filter(statuses, lambda s: s.startswith("2")), F.lit(1)), F.lit("200"))
+    refers = F.concat(F.lit("responses."), ok)
+    writes = m.isin("POST", "PUT", "PATCH", "DELETE")
+    happy = F.array(row("positive", "contract_happy_path", F.concat(F.lit("verifies "), target, F.lit(" succeeds with contract-valid request")), F.when(writes, "high").otherwise("medium"), ok, refers))
+    missing = F.transform(F.filter(body, lambda p: p["required"]), lambda p: row("validation", named("missing_required_{}", p), named("rejects missing required field `{}`", p), "high", "400", named("request.body.{}", p)))
+    typed = F.flatten(F.transform(body, lambda p: F.array_compact(F.array(
+        row("validation", named("invalid_type_{}", p), named("rejects invalid type for `{}`", p), "medium", "400", named("request.body.{}", p)),
+        F.when(p["format"] == "email", row("validation", named("invalid_email_{}", p), named("rejects invalid email format for `{}`", p), "high", "400", named("request.body.{}", p))),
+    ))))
+    of_path = F.flatten(F.transform(in_path, lambda p: F.array_compact(F.array(
+        F.when(p["type"].isin("integer", "number"), row("validation", named("invalid_path_param_{}", p), named("rejects invalid path parameter `{}`", p), "medium", "400", named("request.path_params.{}", p))),
+        F.when((m == "GET") & F.lower(p["name"]).endswith("id"), row("edge_case", named("not_found_for_missing_{}", p), named("returns not found for unknown `{}`", p), "medium", "404", named("request.path_params.{}", p))),
+    ))))
+    of_query = F.transform(F.filter(query, lambda p: p["required"]), lambda p: row("validation", named("missing_query_{}", p), named("rejects missing required query param `{}`", p), "medium", "400", named("request.query.{}", p)))
+    auth = F.when(F.coalesce("has_auth", F.lit(False)), F.array(
+        row("auth", "missing_authorization", "rejects missing Authorization header", "high", "401", "request.headers.Authorization"), row("auth", "invalid_authorization", "rejects invalid or expired token", "high", "401", "request.headers.Authorization"),
+    )).otherwise(F.array().cast(_ROW))
+    leaky = F.exists(shown, lambda f: kinds.any_of(F.lower(f), SENSITIVE))
+    schema = F.when(F.array_contains(statuses, ok), F.array(row(F.when(leaky, "security").otherwise("error_handling"), "response_schema_validation", "validates response body shape matches contract", "medium", ok, refers))).otherwise(F.array().cast(_ROW))
+    of_sinks = F.slice(F.array_compact(F.array(
+        F.when(F.array_contains(sinks, "database"), row("database", "database_failure_handled", "handles database failure without partial write", "high", "500", None)),
+        F.when(F.array_contains(sinks, "external_api"), row("external_api", "downstream_timeout_handled", "handles downstream timeout gracefully", "medium", "502", None)),
+        F.when(F.array_contains(sinks, "queue"), row("queue_event", "queue_publish_failure_handled", "handles queue publish failure correctly", "high", "500", None)),
+    )), 1, MAX_SINK_SCENARIOS)
+    every = F.concat(happy, F.slice(F.concat(missing, typed), 1, MAX_BODY_SCENARIOS), of_path, of_query, auth, schema, of_sinks)
+    names = F.transform(every, lambda s: F.concat_ws(":", s["category"], s["name"]))
+    once = F.filter(every, lambda s, i: F.array_position(names, F.concat_ws(":", s["category"], s["name"])) == i + 1)
+    return contracts.select("endpoint_id", F.posexplode(once).alias("pos", "s")).select("endpoint_id", "pos", "s.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from routeloom.functions import kinds, routes
-from routeloom.operators import contracts, relational, scenarios
+from routeloom.operators import contracts, files, relational, scenarios
 from routeloom.plans import derive, sql
 from routeloom.plans.queries import register
 
@@ -108,3 +108,43 @@ def path_labels(spark, sf_dir):
 def top_scenarios(spark, sf_dir):
     t = derive.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("endpoint"), (F.col("l_partkey") * 100000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("ord"), "l_quantity")
     return relational.top_k(t, ["endpoint"], [F.col("l_quantity").desc(), F.col("ord")], 2).select("endpoint", "ord", "rank")
+
+
+@register(
+    "repository_map",
+    f"""WITH {sql.FILES} SELECT repo, count(*) AS total_files, count(*) FILTER (NOT path LIKE '%.zzz') AS included, 0::BIGINT AS skipped,
+        coalesce(string_agg(DISTINCT path, ',' ORDER BY path) FILTER (regexp_matches(path, '(^|/)(main\\.py|main\\.go|server\\.ts|server\\.js)$')), '') AS entry_points FROM files GROUP BY repo""",
+)
+def repository_map(spark, sf_dir):
+    m = files.repository_map(derive.files(spark, sf_dir))
+    return m.select("repo", "total_files", "included", "skipped", F.array_join("entry_points", ",").alias("entry_points"))
+
+
+@register(
+    "folder_map",
+    f"""WITH {sql.FILES}, f AS (SELECT repo, CASE WHEN contains(path, '/') THEN regexp_extract(path, '^(.*)/[^/]*$', 1) ELSE '.' END AS folder, count(*) AS files FROM files GROUP BY 1, 2)
+        SELECT repo, folder, files, CASE folder WHEN 'src/routes' THEN 'path:routes,path:src' WHEN 'app' THEN 'path:app' WHEN 'tests' THEN 'path:tests' WHEN 'docs' THEN 'path:docs' WHEN 'api/controllers' THEN 'path:api,path:controllers' ELSE '' END AS signals,
+          folder IN ('src/routes', 'api/controllers') AS is_route FROM f""",
+)
+def folder_map(spark, sf_dir):
+    m = files.folder_map(derive.files(spark, sf_dir))
+    return m.select("repo", "folder", "files", F.array_join("signals", ",").alias("signals"), "is_route")
+
+
+@register(
+    "contract_scenarios",
+    f"""WITH {_FACT_SQL}, k AS (SELECT endpoint_id, m, path, stem, CASE WHEN m = 'POST' THEN '201' WHEN m = 'DELETE' THEN '204' ELSE '200' END AS ok, endpoint_id % 2 = 0 AS auth, endpoint_id % 3 = 0 AS db,
+          CASE WHEN id_param THEN CASE WHEN path LIKE '%code%' THEN 'code' ELSE 'id' END END AS p, path LIKE '%<int%' AS num FROM facts),
+        r AS (SELECT endpoint_id, 1 AS o, stem || 'contract_happy_path' AS name, ok AS status FROM k
+          UNION ALL SELECT endpoint_id, 2, stem || 'invalid_path_param_' || p, '400' FROM k WHERE num UNION ALL SELECT endpoint_id, 3, stem || 'not_found_for_missing_' || p, '404' FROM k WHERE m = 'GET' AND p = 'id'
+          UNION ALL SELECT endpoint_id, 4, stem || 'missing_authorization', '401' FROM k WHERE auth UNION ALL SELECT endpoint_id, 5, stem || 'invalid_authorization', '401' FROM k WHERE auth
+          UNION ALL SELECT endpoint_id, 6, stem || 'response_schema_validation', ok FROM k UNION ALL SELECT endpoint_id, 7, stem || 'database_failure_handled', '500' FROM k WHERE db)
+        SELECT endpoint_id, (row_number() OVER (PARTITION BY endpoint_id ORDER BY o) - 1)::INT AS pos, name, status FROM r""",
+)
+def contract_scenarios(spark, sf_dir):
+    none = F.array().cast("array<string>")
+    c = contracts.scaffold(_facts(spark, sf_dir)).withColumns({
+        "body_fields": F.lit(None).cast("array<struct<name:string,type:string,format:string,required:boolean>>"), "query_params": F.lit(None).cast("array<struct<name:string,type:string,required:boolean>>"),
+        "has_auth": F.col("endpoint_id") % 2 == 0, "response_fields": none, "sinks": F.when(F.col("endpoint_id") % 3 == 0, F.array(F.lit("database"))).otherwise(none),
+    })
+    return scenarios.contract_scenarios(c).select("endpoint_id", "pos", "name", "status")

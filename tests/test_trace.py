@@ -75,3 +75,20 @@ def test_quality_score(spark):
     rows = [(True, "200", ["x"], True, "p", True, True, "positive", "a", "b", "GET", False), (False, None, [], False, None, False, False, "validation", "rejects_invalid_payload", None, "POST", False), (None,) * 12]
     df = spark.createDataFrame(rows, schema)
     assert [r[0] for r in df.select(scenarios.scenario_quality(df)).collect()] == [26, -10, -5]
+
+
+def test_contract_scenarios(spark):
+    schema = (
+        "endpoint_id long, method string, path string, body_fields array<struct<name:string,type:string,format:string,required:boolean>>, path_params array<struct<name:string,type:string,required:boolean>>, "
+        "query_params array<struct<name:string,type:string,required:boolean>>, has_auth boolean, statuses array<string>, response_fields array<string>, sinks array<string>"
+    )
+    body = [("email", "string", "email", True), ("age", "integer", None, True), ("note", "string", None, False)]
+    rows = [(1, "post", "/u", body, [], [("q", "string", True)], False, ["400", "201"], ["Password"], ["queue", "database"]), (2, None, "/x/{id}", None, [("id", "string", True)], None, None, None, None, None)]
+    got = {}
+    for r in scenarios.contract_scenarios(spark.createDataFrame(rows, schema)).orderBy("endpoint_id", "pos").collect():
+        got.setdefault(r["endpoint_id"], []).append((r["category"], r["name"].split("_", 2)[2], r["status"]))
+    assert got[1] == [
+        ("positive", "contract_happy_path", "201"), ("validation", "missing_required_email", "400"), ("validation", "missing_required_age", "400"), ("validation", "invalid_type_email", "400"), ("validation", "invalid_email_email", "400"),
+        ("validation", "invalid_type_age", "400"), ("validation", "missing_query_q", "400"), ("security", "response_schema_validation", "201"), ("database", "database_failure_handled", "500"), ("queue_event", "queue_publish_failure_handled", "500"),
+    ]
+    assert got[2] == [("positive", "id_contract_happy_path", "200")]

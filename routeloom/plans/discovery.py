@@ -9,6 +9,7 @@ from routeloom.extract import tables
 from routeloom.functions import evidence as ev
 from routeloom.functions import routes
 from routeloom.operators import graph, relational
+from routeloom.session import cut
 
 SCRIPT_SUFFIXES = (".ts", ".tsx", ".js", ".jsx")
 
@@ -64,7 +65,7 @@ def router_graph(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
 def discover(files: DataFrame) -> DataFrame:
     """Routes of repositories (repo, path, text): declared ones and those composed from mounts, merged, low-quality ones dropped."""
     declared = tables.declared_routes(files).drop("framework", "line")
-    declarations, mounts = router_graph(tables.route_facts(files))
+    declarations, mounts = map(cut, router_graph(cut(tables.route_facts(files))))
     composed = graph.compose_routes(declarations, mounts).join(declarations.select("decl_id", "repo", "file", "handler", "snippet"), "decl_id")
     rows = composed.select(
         (F.shiftrightunsigned("decl_id", 2) + F.lit(1 << 62)).alias("ord"), "method", F.col("full_path").alias("path"), "handler", "file", "repo", F.lit(None).cast("string").alias("service"),

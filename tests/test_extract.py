@@ -159,3 +159,25 @@ def test_stream(spark, tmp_path):
     q.stop()
     assert {(r["event_type"], r["n"]) for r in spark.table("kinds").collect()} == {("view", 2), ("click", 1)}
     assert flows.sessions(df).count() == 2
+
+
+def test_trace(spark):
+    from routeloom.plans.trace import trace
+
+    files = spark.createDataFrame(
+        [
+            ("shop", "src/api.py", "@app.post('/orders')\ndef create(order: Order, db: Session = Depends(get_db)):\n    row = Order(**order)\n    db.add(row)\n    db.commit()\n    requests.post('http://billing.local/charge')\n    return {'id': 1}\n"),
+            ("shop", "src/r.js", "import { save } from './ctl'\nconst app = Router()\napp.put('/things/:id', save)\n"),
+            ("shop", "src/ctl.js", "export function save(req, res) {\n  const b = req.body;\n  await db.query('UPDATE t');\n  return res.json(b);\n}\n"),
+            ("billing", "app.py", "@app.post('/charge')\ndef charge():\n    return {}\n"),
+        ],
+        "repo string, path string, text string",
+    )
+    t = trace(files, "/orders", "post")
+    got = t.summary.first()
+    assert (got["handler"], got["sinks"], got["linked"]) == ("create", 1, 1) and 0.8 <= got["confidence"] <= 0.95
+    assert [r["kind"] for r in t.steps.orderBy("ord").collect()] == ["dependency", "input_model", "transform", "db_write", "db_write", "external_api_call", "response"]
+    assert [r["target_id"] for r in t.links.collect()] == ["billing:app.py:POST:/charge"]
+    t = trace(files, "/things/{id}", "PUT")
+    assert [r["kind"] for r in t.steps.orderBy("ord").collect()] == ["request_input", "database_write", "response"]
+    assert t.summary.first()["sinks"] == 1

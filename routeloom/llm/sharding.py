@@ -18,7 +18,9 @@ from routeloom.llm.common import doc_key, documents, materialise
 #: Bits that come from a row's key; as many again come from its place, for rows that are alike.
 KEY_BITS = 60
 #: The directory's cells are about this many times finer, in bits, than even shards would be.
-CELL_BITS = 6
+CELL_BITS = 3
+#: Up to so many cells (some 60 bytes each), the directory goes to the rows; beyond, both are shuffled.
+BROADCAST_CELLS = 1_000_000
 #: Byte limit of a shard in the registered query.
 SHARD_BYTES = 1 << 20
 
@@ -57,7 +59,8 @@ def assign_shards(rows: DataFrame, key: Column, size: Column, max_bytes: int) ->
     left, done = placed, None
     while True:
         cells = _directory(left, base, depth, max_bytes)
-        part = left.withColumn("_rl_cell", F.substring("_rl_bits", 1, depth)).join(cells, "_rl_cell")
+        known = F.broadcast(cells) if cells.count() <= BROADCAST_CELLS else cells
+        part = left.withColumn("_rl_cell", F.substring("_rl_bits", 1, depth)).join(known, "_rl_cell")
         last = depth >= 2 * KEY_BITS
         fits = part if last else part.filter("shard IS NOT NULL")
         fits = fits.select(

@@ -1,8 +1,10 @@
 """Operators that look at one row at a time, against plain definitions."""
 
+import base64
 import hashlib
 import random
 import re
+import string
 from collections import Counter
 
 import pytest
@@ -82,6 +84,25 @@ def test_compression_bands():
     assert not quality_rules.in_bands(half)  # the chunks tell
 
 
+def prose_like(rng, size):
+    syllables = ["the", "an", "ti", "on", "re", "st", "ing", "ou", "ble", "ha", "er", "nd"]
+    return " ".join("".join(rng.choices(syllables, k=rng.randrange(1, 5))) for _ in range(size)).encode()[:size]
+
+
+def base64_like(rng, size):
+    return base64.b64encode(rng.randbytes(size))[:size]
+
+
+def test_bands_reject_base64_and_random_letters():
+    rng = random.Random(3)
+    letters = " ".join("".join(rng.choices(string.ascii_lowercase, k=rng.randrange(3, 10))) for _ in range(8_000)).encode()
+    assert not any(quality_rules.in_bands(letters[:n]) for n in (1_000, 1_500, 3_000, 4_096, 12_000, 45_000))
+    assert not any(quality_rules.in_bands(base64_like(rng, n)) for n in (400, 1_000, 3_500, 8_192, 40_000))
+    for good, bad in ((20_480, 20_480), (8_192, 24_576)):
+        assert quality_rules.in_bands(prose_like(rng, good))
+        assert not quality_rules.in_bands(prose_like(rng, good) + base64_like(rng, bad))
+
+
 def test_rules_and_personal_data_on_odd_rows(spark):
     rows = odd_documents()
     docs = spark.createDataFrame(rows, SCHEMA)

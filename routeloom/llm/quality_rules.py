@@ -30,7 +30,7 @@ class Bands:
     The upper limits lie above what slices of the corpus's prose reach at most (10,593 of 100 bytes: 1.09; 7,797 of 1,000: 0.61;
     1,827 of 4,096: 0.48) and, from 1,000 bytes on, below random lower-case letters (0.62 of 1,000 bytes, 0.59 of 4,096); base64
     (0.79 and 0.76) is above them from 200 bytes on. Shorter input does not tell letters from words. A few words said again and again go below 0.1.
-    ``chunks_out``: the share of a text's chunks that may be outside.
+    ``chunks_out``: the share of a text's chunks that may be outside: with fewer than 50 chunks, none.
     """
 
     least: tuple = ((200, 0.35), (1_000, 0.30), (4_000, 0.25), (None, 0.20))
@@ -39,7 +39,8 @@ class Bands:
         (1_200, 0.60), (1_500, 0.58), (2_000, 0.57), (3_000, 0.55), (4_096, 0.54), (20_000, 0.52),
     )
     chunk_bytes: int = 4_096
-    chunks_out: float = 0.25
+    least_chunk: int = 1_024
+    chunks_out: float = 0.02
     level: int = 3
 
     def hold(self, data: bytes | memoryview, packer: zstandard.ZstdCompressor) -> bool:
@@ -89,12 +90,13 @@ def in_bands(data: bytes, bands: Bands = BANDS, packer=None) -> bool:
     if not bands.hold(data, packer):
         return False
     size = bands.chunk_bytes
-    chunks = len(data) // size  # full chunks: the rest, shorter, is seen in the whole
-    if chunks < 2:
+    if len(data) <= size:  # one chunk, seen already
         return True
     view = memoryview(data)
-    out = sum(not bands.hold(view[i * size : (i + 1) * size], packer) for i in range(chunks))
-    return out <= bands.chunks_out * chunks
+    starts = range(0, len(data), size)
+    # a tail too short to be told is moved back, so that every byte is in a chunk
+    chunks = (view[min(at, len(data) - bands.least_chunk) : at + size] for at in starts)
+    return sum(not bands.hold(c, packer) for c in chunks) <= bands.chunks_out * len(starts)
 
 
 def apply_rules(docs: DataFrame, bands: Bands = BANDS, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

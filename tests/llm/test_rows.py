@@ -103,6 +103,15 @@ def test_bands_reject_base64_and_random_letters():
         assert not quality_rules.in_bands(prose_like(rng, good) + base64_like(rng, bad))
 
 
+def test_bands_see_every_chunk():
+    rng = random.Random(4)
+    for good, bad in ((4_096, 4_095), (4_096, 2_000), (4_000, 600), (8_192, 4_095), (8_192, 400), (30_720, 10_240)):
+        text = prose_like(rng, good + bad)
+        assert quality_rules.in_bands(text)
+        assert not quality_rules.in_bands(text[:good] + base64_like(rng, bad)), (good, bad)
+    assert not quality_rules.in_bands(base64_like(rng, 4_096) + prose_like(rng, 36_864))
+
+
 def test_rules_and_personal_data_on_odd_rows(spark):
     rows = odd_documents()
     docs = spark.createDataFrame(rows, SCHEMA)

@@ -1,6 +1,6 @@
 """License scans by sentence rules, with DataFrame functions only.
 
-A text is cut into sentences, each is normalised and mapped to the identifier of a known
+A text is normalised and cut into sentences, over single line ends too; each is mapped to the identifier of a known
 licence sentence; the identifiers, in order, are matched against ordered licence rules. All of it happens
 within a row: no shuffle, no Python.
 """
@@ -86,18 +86,33 @@ RULES = [
 #: Every known sentence holds one of these; texts without any need no cutting.
 TRIGGER = "(?i)(?:licen|permi|warrant|redistrib|cc0|copyright)"
 
-#: Where sentences end: line ends, and stops before white space or the end.
+#: Stops before white space or the end: sentences end there, at blank lines, and may end at any other line end.
 _END = r"[.;:!?]+([\x20\x09-\x0D]|\z)"
 
 _OUT = ("n_sentences", "sentence_ids", "licenses", "license")
 
 
+#: Stops within known sentences, as their texts have them; "|" is the stop.
+_INNER = ("program is free software| you can", "without any warranty| without even", "public license v| 2 0")
+
+
+def _pattern(sentence: str) -> str:
+    for whole in _INNER:
+        sentence = sentence.replace(whole.replace("|", ""), whole)
+    return sentence.replace(" ", "[ \\n]").replace("|[ \\n]", "(?:[ \\n]|\\n\\n\\n?)")
+
+
+#: A known sentence over whole lines, the longest that fits. Blank lines and stops are two line ends, so it does not reach over them.
+_KNOWN = "(?m)^(?:" + "|".join(map(_pattern, sorted(SENTENCES.values(), key=len, reverse=True))) + ")$"
+
+
 def sentence_ids(text: Column) -> Column:
-    """Identifiers of the known sentences of a text, in order."""
-    lines = F.split(F.regexp_replace(F.replace(text, F.lit("\r"), F.lit("\n")), _END, "\n"), "\n")
-    plain = lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
+    """Identifiers of the known sentences of a text, in order. A sentence may be wrapped over lines, each with comment marks before it."""
+    lines = F.regexp_replace(F.lower(F.regexp_replace(text, "\r\n?", "\n")), r"(?m)^[^a-z0-9\n]+", "")
+    plain = F.regexp_replace(F.regexp_replace(lines, _END, "\n\n"), r"[^a-z0-9\n]+", " ")
+    found = F.regexp_extract_all(F.regexp_replace(plain, " ?\n ?", "\n"), F.lit(_KNOWN), F.lit(0))
     known = F.create_map(*[F.lit(x) for i, s in SENTENCES.items() for x in (s, i)])
-    return F.filter(F.transform(lines, lambda s: F.try_element_at(known, plain(s))), lambda i: i.isNotNull())
+    return F.transform(found, lambda s: F.try_element_at(known, F.regexp_replace(s, "\n+", " ")))
 
 
 def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:

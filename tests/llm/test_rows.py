@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import string
+import textwrap
 from collections import Counter
 
 import pytest
@@ -153,6 +154,42 @@ def test_licenses(spark):
     assert "Python" not in plan and "Exchange" not in plan
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."
+
+
+@pytest.mark.parametrize("mark", ["", " * ", ";; "])
+def test_wrapped_licenses(spark, mark):
+    wrapped = lambda s: "\n".join(mark + x for p in s.split("\n") for x in textwrap.wrap(p, 72 - len(mark)) or [""])
+    whole = {"MIT": MIT, "BSD-3-Clause": BSD, "GPL-3.0": GPL, "Apache-2.0": APACHE, "ISC": ISC, "MPL-2.0": MPL}
+    texts = [f(t) for t in whole.values() for f in (str, wrapped, lambda s: wrapped(s).replace("\n", "\r\n"))]
+    cut = wrapped("Released under the") + "\n" + mark.rstrip() + "\n" + mark + "MIT License"  # a blank line ends a sentence
+    texts += [cut, wrapped("Released under the MIT License\nReleased under the MIT License\nand more")]
+    got = {r["n"]: r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "n long, text string")).collect()}
+    for i, name in enumerate(whole):
+        one_line, *folded = (got[3 * i + k] for k in range(3))
+        assert all(r["sentence_ids"] == one_line["sentence_ids"] and name in r["licenses"].split(",") for r in (one_line, *folded)), (name, one_line, folded)
+    assert got[18]["sentence_ids"] == "mit-title-short" and got[19]["sentence_ids"] == "mit-notice,mit-notice"
+
+
 CHATTY = st.lists(st.sampled_from(["</s>", "[INST] ", " [/INST]", "<<ROLE>>", "<</ROLE>>", "<s>", "\\", "a", " ", "\n", "user", "<", "[", "/"]), max_size=8).map("".join)
 
 

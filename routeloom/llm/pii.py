@@ -27,11 +27,22 @@ _DIGITS = re.compile(r"[0-9]+")
 _IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+")
-_IBAN = re.compile(r"[\x20:#]{0,3}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
+_IBAN = re.compile(r"[\x20:#]{0,3}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})")
 _ACCOUNT = re.compile(r"(?:\x20(?:number|no\.?|nr\.?))?[\x20:#]{1,3}([0-9](?:[\x20-]?[0-9]){5,16})(?![0-9])", re.I)
 _SSN = re.compile(r"[\x20:#]{0,3}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")
 _URL = re.compile(r"(?:[^\s/@<>\"']+@)?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?::[0-9]+)?(?:[/?#][^\s<>\"']*)?")
 
+#: Characters of an IBAN by country (fixed values of the registry).
+_IBAN_LENGTHS = {
+    c: int(n)
+    for n, countries in (x.split(":") for x in (
+        "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,OM,SO,TL "
+        "24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HN,HU,LB,NI,PL,SV "
+        "29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU"
+    ).split())
+    for c in countries.split(",")
+}
+
 _CUES = {"iban": _IBAN, "account": _ACCOUNT, "acct": _ACCOUNT, "ssn": _SSN, "social security": _SSN}
 _CUE_KIND = {_IBAN: "iban", _ACCOUNT: "account", _SSN: "ssn"}
 _SCHEMES = ("http://", "https://", "ftp://")
@@ -67,6 +78,17 @@ def _iban_ok(value: str) -> bool:
     return 15 <= len(v) <= 34 and int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
 
 
+def _iban_end(text: str, start: int, stop: int) -> int | None:
+    """Where the IBAN from ``start`` ends, at ``stop`` or before: at its country's length; of a country unknown, at the last group that validates."""
+    wanted, n, ends = _IBAN_LENGTHS.get(text[start : start + 2]), 0, []
+    for i in range(start, stop):
+        n += text[i] != " "
+        after = text[i + 1 : i + 2]
+        if text[i] != " " and n == (wanted or max(n, 15)) and not (after.isascii() and after.isalnum()):
+            ends.append(i + 1)
+    return next((end for end in reversed(ends) if _iban_ok(text[start:end])), None)
+
+
 def find_spans(text: str) -> list[tuple[str, int, int]]:
     """``(kind, start, end)`` in code points, by start and then kind; ends are exclusive.
 
@@ -113,8 +135,9 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
                 url = stop
         elif m := _CUES[kind].match(text, end + 1):
             what = _CUE_KIND[_CUES[kind]]
-            if what != "iban" or _iban_ok(m[1]):
-                found.append((what, m.start(1), m.end(1)))
+            stop = _iban_end(text, *m.span(1)) if what == "iban" else m.end(1)
+            if stop:
+                found.append((what, m.start(1), stop))
     return sorted(set(found), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

@@ -72,6 +72,20 @@ def test_added_spans():
     assert not pii.find_spans("IBAN DE00 3704 0044 0532 0130 00 none")
 
 
+def test_iban_ends_before_what_follows():
+    valid = lambda v: int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
+    german = "DE89370400440532013000"
+    more = next(f"{k:02}" for k in range(100) if valid(f"{german}{k:02}"))  # validates too, but is too long
+    unknown = next(v for k in range(100) if valid(v := f"ZZ{k:02}12345678901234"))
+    for iban, rest in (
+        (german, " BIC COBADEFFXXX"), ("DE89 3704 0044 0532 0130 00", " OK"), (german, " " + more), (german, ", 12"), (german, " Ok"), (german, ""),
+        ("GB82 WEST 1234 5698 7654 32", " 2024 AND MORE UPPER CASE WORDS"), ("NO93 8601 1117 947", " 77"), (unknown, " BICX"),
+    ):
+        text = f"IBAN {iban}{rest}"
+        assert [text[a:b] for k, a, b in pii.find_spans(text) if k == "iban"] == [iban], text
+    assert not [s for s in pii.find_spans(f"IBAN {german}BIC, IBAN DE89370400440532013001 BIC") if s[0] == "iban"]
+
+
 def test_compression_bands():
     import os
 

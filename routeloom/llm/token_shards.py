@@ -9,6 +9,7 @@ to partitions, which write shards of fixed-stride records. The record of slot s
 from __future__ import annotations
 
 import base64
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -19,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routeloom.llm.common import documents, materialise, small_arrow_batches
+from routeloom.llm.common import documents, materialise, shared_dir, small_arrow_batches
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How byte_bpe_50k cuts a text before merging (fixed value, part of the tokenizer).
@@ -194,5 +195,8 @@ def resume(spark: SparkSession, path: str, slot: int, *, per_shard: int = PER_SH
 
 
 def query(spark, sf_dir):
-    """All documents' sequences by slot, read back from the shards."""
-    return read_shards(shards(sequences(documents(spark, sf_dir), load_ranks())))
+    """All documents' sequences by slot, read back from the shards, which are written to the shared folder."""
+    made = shards(sequences(documents(spark, sf_dir), load_ranks()))
+    path = f"{shared_dir(spark)}/token-shards-{uuid.uuid4().hex}"
+    write_shards(made, path)
+    return read_shards(spark.read.schema(made.schema).parquet(path))

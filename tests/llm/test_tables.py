@@ -239,3 +239,12 @@ def test_token_shards(spark, odd, nothing, tmp_path):
     assert coder.decode(whole[:-1].tolist()) == next(r[1] for r in odd_documents() if r[0] == 6) and whole[-1] == token_shards.END_OF_TEXT
     assert [r["shard"] for r in token_shards.resume(spark, str(tmp_path / "shards"), 25, per_shard=10).select("shard").take(2)] == [2, 3]
     assert token_shards.read_shards(token_shards.shards(token_shards.sequences(nothing, ranks))).count() == 0
+
+
+def test_token_query_reads_written_shards(spark):
+    got = token_shards.query(spark, "/root/testdata/sf0.001")
+    files = got.inputFiles()
+    assert files and all("/token-shards-" in f for f in files)
+    written = spark.read.parquet(*files)
+    assert written.columns == ["shard", "first_slot", "n_sequences", "payload"]
+    assert {r["slot"] for r in got.collect()} == set(range(written.agg(F.sum("n_sequences")).first()[0]))

@@ -39,3 +39,9 @@ def test_entry(spark):
         pytest.skip("no test tables")
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_bench_times_the_route_merge():
+    import bench
+
+    assert "merge_routes" in bench.HEADLINE

@@ -9,7 +9,7 @@ from routeloom.functions import routes
 from routeloom.session import cut
 
 
-def mount_prefixes(mounts: DataFrame, max_depth: int = 64) -> DataFrame:
+def mount_prefixes(mounts: DataFrame) -> DataFrame:
     """``container, prefix, chain`` for every way from a root down to a container.
 
     ``mounts``: mount_id, parent, child, prefix; mounts without a child lead nowhere. A root is a parent that is mounted nowhere.
@@ -21,8 +21,8 @@ def mount_prefixes(mounts: DataFrame, max_depth: int = 64) -> DataFrame:
     reached = edges.select("parent").distinct().join(children, "parent", "left_anti").select(
         F.col("parent").alias("container"), F.lit("").alias("prefix"), F.array().cast("array<bigint>").alias("chain"), F.array("parent").alias("seen")
     )
-    out, depth = reached, 0
-    while depth < max_depth:
+    out = reached
+    while True:  # ends by itself, for ways are simple
         step = reached.join(edges, F.col("container") == F.col("parent")).filter(~F.array_contains("seen", F.col("child")))
         reached = cut(step.select(
             F.col("child").alias("container"), routes.join_paths(F.col("prefix"), F.col("_leg")).alias("prefix"),
@@ -30,7 +30,7 @@ def mount_prefixes(mounts: DataFrame, max_depth: int = 64) -> DataFrame:
         ))
         if reached.isEmpty():
             break
-        out, depth = out.unionByName(reached), depth + 1
+        out = out.unionByName(reached)
     return out.select("container", "prefix", "chain").distinct()
 
 

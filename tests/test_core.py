@@ -72,6 +72,14 @@ def test_mount_composition(spark):
     assert [r["mount_id"] for r in graph.unresolved_mounts(mounts).collect()] == [3]
 
 
+def test_mounts_of_any_depth(spark):
+    depth = 66
+    mounts = spark.createDataFrame([(i, f"c{i}", f"c{i + 1}", f"/{i}") for i in range(depth)], "mount_id long, parent string, child string, prefix string").coalesce(1)
+    got = {r["container"]: (r["prefix"], r["chain"]) for r in graph.mount_prefixes(mounts).collect()}
+    assert len(got) == depth + 1 and got[f"c{depth}"] == ("".join(f"/{i}" for i in range(depth)), list(range(depth)))
+
+
+
 def routes_frame(spark, rows):
     full = [(i, m, p, h, f, "r", s, c, st, [(f, None, label, None)] if label else []) for i, (m, p, h, f, s, c, st, label) in enumerate(rows)]
     return spark.createDataFrame(full, ROUTE)

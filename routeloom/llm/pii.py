@@ -109,7 +109,7 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
             if at >= ip:
                 m = _IP.match(text, at)
                 ip = m.end() if m else _DIGITS.match(text, at).end()
-                if m and all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+                if m and all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
                     found.append(("ip", at, ip))
         elif kind == "@":
             start = at

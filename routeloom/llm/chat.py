@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from routeloom.llm.common import small_arrow_batches
 
@@ -121,6 +122,7 @@ def read_back(frames: DataFrame) -> DataFrame:
     """What the parser recovers from formatted conversations: ``conv_id, n_turns, turns_sha256, loss_chars,
     loss_sha256, formatted_chars``. The loss mask covers what assistants say. ``frames``: as :func:`format_turns` gives them."""
     conv_type = dict(frames.dtypes)["conv_id"]
+    kinds = [to_arrow_type(frames.schema["conv_id"].dataType), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,8 +148,7 @@ def read_back(frames: DataFrame) -> DataFrame:
 
     def table(rows) -> pa.RecordBatch:
         cols = list(zip(*rows, strict=True)) or [()] * 6
-        kinds = [pa.int64() if conv_type == "bigint" else None, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) if k else pa.array(c, pa.string()) for c, k in zip(cols, kinds, strict=True)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
     return frames.mapInArrow(digests, f"conv_id {conv_type}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 

@@ -22,13 +22,15 @@ def session(df: DataFrame) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, a laptop) a folder of this machine
-    is chosen, once for each session.
+    Only where that setting is absent and Spark runs on this machine alone (tests, a laptop) a folder of the machine
+    is chosen, once for each session; on a cluster its absence is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.conf.get("spark.routeloom.scratch", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="routeloom-")
         spark.conf.set("spark.routeloom.scratch", named)
     return named.rstrip("/")
@@ -42,7 +44,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = session(df)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._rl_path = path
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`materialise` wrote, once all that was made of them is written too."""
+    for df in tables:
+        spark = session(df)
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._rl_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def doc_key(doc_id: Column, text: Column) -> Column:
@@ -96,3 +108,23 @@ def split_by_keys(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame
         return rows.withColumn("_rl_slot", slot(F.col(key))).mapInArrow(run, schema)
 
     return side(True), side(False)
+
+
+#: Rows of a key from which on it counts as hot, at least, and hot keys, at most.
+HOT_ROWS, HOT_KEYS = 1_000, 10_000
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table``, which has each ``key`` once, though a key may hold any share of the rows.
+
+    Keys that hold more than their share are few, whatever the size: at most :data:`HOT_KEYS`. Their rows of ``table`` are broadcast, so that
+    theirs of ``rows`` stay where they are; the others meet by a shuffle. ``rows`` is read twice: it should be a written table.
+    """
+    counts = rows.groupBy(key).count()
+    total, most = counts.agg(F.sum("count"), F.max("count")).first()
+    limit = max(HOT_ROWS, (total or 0) // HOT_KEYS)
+    hot = [] if (most or 0) <= limit else [r[0] for r in counts.filter(F.col("count") > limit).filter(F.col(key).isNotNull()).select(key).collect()]
+    if not hot:
+        return rows.join(table, key, how)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    return rows.filter(~is_hot).join(table.filter(~is_hot), key, how).unionByName(rows.filter(is_hot).join(F.broadcast(table.filter(is_hot)), key, how))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routeloom.llm.common import materialise
+from routeloom.llm.common import discard, join_hot, materialise
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -15,30 +15,34 @@ def _least(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = _least(both).select("a", F.least("a", "least").alias("least"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).filter("a <> b").distinct()
+    return join_hot(both.filter("b > a"), least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).filter("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = _least(down)
-    moved = down.join(least, "a").filter("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
+    moved = join_hot(down, least, "a").filter("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
     return moved.unionByName(least.select("a", F.col("least").alias("b"))).filter("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node, root`` for every node of ``edges`` (a, b: long): root is the least node of its component.
+    """``node, root`` for every node of ``edges`` (a, b: long): root is the least node of its component. A written table.
 
-    An edge is a row of its own throughout; a node with many neighbours is split over tasks by skew joins,
+    An edge is a row of its own throughout. The neighbours of a node with many of them stay where they are (:func:`join_hot`),
     and only least neighbours are aggregated. Loops and repeated edges do no harm; no edges give no rows.
     """
     now = materialise(edges.select("a", "b").filter("a <> b").distinct(), "edges")
     mark = None
     while True:
         star = materialise(_large_star(now), "edges")
+        discard(now)
         now = materialise(_small_star(star), "edges")
+        discard(star)
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == mark:
             break
         mark = seen
     leaves = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return leaves.unionByName(leaves.select(F.col("root").alias("node"), "root").distinct())
+    out = leaves.unionByName(leaves.select(F.col("root").alias("node"), "root").distinct())
+    out._rl_path = now._rl_path
+    return out

@@ -3,7 +3,8 @@
 1. Exact copies collapse to one text. Every text gets a MinHash signature of its word shingles.
 2. Texts that agree on a band of the signature are candidates. A bucket of few texts gives its pairs; their MinHash
    values are compared step by step, and a pair is dropped when the posterior probability that its similarity reaches the threshold
-   falls below a tolerance. A larger bucket gives a star, one edge for each text, so no bucket's pairs are ever rows.
+   falls below a tolerance. In a larger bucket each text is compared with the first one in the same way, and what is not similar to it again, so
+   no bucket's pairs are ever rows, and texts that only share a passage do not meet.
 3. What is left falls into groups. A group's texts are dealt to tiles, and each pair of tiles is a unit of work of bounded
    size: within it all pairs go through the same pruning, and the rest is verified by their exact sets of shingles.
    Units return sums for each text, not pairs.
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routeloom.llm.common import documents, materialise, small_arrow_batches, split_by_keys
+from routeloom.llm.common import discard, documents, join_hot, materialise, small_arrow_batches, split_by_keys
 from routeloom.llm.components import components
 from routeloom.llm.shingles import SPACE, mix, shingles_of
 
@@ -34,6 +35,8 @@ BANDS, ROWS = 36, 5
 TOLERANCE, STEP = 1e-6, 20
 #: Texts of a bucket whose pairs are listed; larger ones give stars.
 LISTED = 16
+#: Two texts that are similar to one text are as similar as this (Jaccard distance is a metric).
+BORDER = 1 - 2 * (1 - THRESHOLD)
 #: Texts and shingles of a tile.
 TILE_TEXTS, TILE_SHINGLES = 512, 400_000
 
@@ -74,12 +77,12 @@ def fewest_matches(n: int, threshold: float = THRESHOLD, tolerance: float = TOLE
     return n
 
 
-def plausible(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+def plausible(left: np.ndarray, right: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
     """Which pairs of rows of two signature tables are left after the last step."""
     alive, matches = np.arange(len(left)), np.zeros(len(left), np.int64)
     for at in range(0, left.shape[1], STEP):
         matches[alive] += (left[alive, at : at + STEP] == right[alive, at : at + STEP]).sum(1)
-        alive = alive[matches[alive] >= fewest_matches(min(at + STEP, left.shape[1]))]
+        alive = alive[matches[alive] >= fewest_matches(min(at + STEP, left.shape[1]), threshold)]
     return alive
 
 
@@ -100,16 +103,113 @@ def _sign(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, f"_rl_key binary, doc_id {dict(texts.dtypes)['doc_id']}, n long, sig binary, bands array<long>")
 
 
-def _prune(pairs: DataFrame) -> DataFrame:
-    """``a, b`` of the pairs (a, b, sig_a, sig_b) that are not dropped."""
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, len(_SEEDS))
+
+
+def _compare(pairs: DataFrame, sig: DataFrame, *, hot: bool) -> DataFrame:
+    """``a, b, near`` of the pairs (a, b) that may reach :data:`BORDER`; ``near``: they may reach the threshold as well.
+    ``hot``: a text may be ``a`` of any number of pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = _matrix(batch.column(2)), _matrix(batch.column(3))
+            close = plausible(left, right, BORDER)
+            near = np.isin(close, plausible(left, right))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(close)), batch.column(1).take(pa.array(close)), pa.array(near)], names=["a", "b", "near"])
+
+    sig_a = sig.toDF("a", "sig_a")
+    signed = (join_hot(pairs, sig_a, "a") if hot else pairs.join(sig_a, "a")).join(sig.toDF("b", "sig_b"), "b")
+    return signed.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long, near boolean")
+
+
+def _listed(posted: DataFrame) -> DataFrame:
+    """``a, b``: all pairs of the buckets in ``posted`` (band, rid), which are small."""
+    lists = posted.groupBy("band").agg(F.array_sort(F.collect_list("rid")).alias("r")).select("r").distinct()
+    return lists.select(
+        F.explode(F.expr("flatten(transform(sequence(1, size(r) - 1), i -> transform(slice(r, i + 1, size(r)), x -> struct(r[i - 1] AS a, x AS b))))")).alias("p")
+    ).select("p.a", "p.b").distinct()
+
+
+def _within(posted: DataFrame, sig: DataFrame) -> DataFrame:
+    """``a, b``: links that hold together the texts of a bucket in ``posted`` (band, rid, size) that may be similar.
+
+    A bucket's texts are dealt to tiles; every pair of tiles is a unit of work, in which all pairs are compared step by step. A unit gives
+    no more links than it has texts.
+    """
+    tiles = F.ceil(F.col("size") / F.lit(TILE_TEXTS))
+    rows = posted.join(sig, "rid").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("rid"), F.col("tiles")))
+    units = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).select(
+        "band", F.least("tile", "other").alias("one"), F.greatest("tile", "other").alias("two"), "tile", "rid", "sig"
+    )
+
+    def links(key, rows) -> list[tuple[int, int]]:
+        _, one, two = key
+        tile, rid = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+        table, root, out = np.frombuffer(b"".join(r[2] for r in rows), "<u2").reshape(-1, len(_SEEDS)), list(range(len(rows))), []
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        others = np.flatnonzero(tile == two)
+        for i in np.flatnonzero(tile == one):
+            near = others[others > i] if one == two else others
+            for j in near[plausible(np.broadcast_to(table[i], (len(near), table.shape[1])), table[near])]:
+                if find(i) != find(j):
+                    root[find(j)] = find(i)
+                    out.append((int(rid[i]), int(rid[j])))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
         for batch in batches:
-            left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, len(_SEEDS)) for i in (2, 3))
-            keep = pa.array(plausible(left, right))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"])
+            found = []
+            for *key, tile, rid, signature in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != now:
+                    found += links(now, held) if held else []
+                    now, held = key, []
+                held.append((tile, rid, signature))
+            yield table(found)
+        yield table(links(now, held) if held else [])
+
+    def table(found) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return units.repartition("band", "one", "two").sortWithinPartitions("band", "one", "two", "rid").mapInArrow(run, "a long, b long")
+
 
-    return pairs.mapInArrow(run, "a long, b long")
+def _candidates(posted: DataFrame, sig: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """``a, b``: links by which all texts that may be similar fall into one group, and the tables they are read from.
+
+    ``posted`` (band, rid): the buckets. A small one gives its pairs. In a large one every text is compared with the first. Those that may
+    reach the threshold are done: whoever is similar to them is close to the first too, 1 - 2 * (1 - threshold) at least, and linked to it.
+    The others are a bucket again, as long as that makes buckets much smaller; then all pairs of a bucket are compared, in units.
+    """
+    out, tables, before = None, [], None
+    add = lambda links: links if out is None else out.unionByName(links)
+    while True:
+        buckets = posted.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("rid").alias("hub")).filter("size > 1")
+        sized = materialise(join_hot(posted, buckets, "band"), "join-buckets")
+        tables.append(sized)
+        listed = _compare(_listed(sized.filter(F.col("size") <= LISTED)), sig, hot=False).filter("near").select("a", "b")
+        out = add(listed)
+        large = sized.filter(F.col("size") > LISTED)
+        n = large.count()
+        if not n:
+            return out, tables
+        if before and n > 0.7 * before:
+            return add(_within(large.select("band", "rid", "size"), sig)), tables
+        before = n
+        spokes = large.filter("rid <> hub")
+        stars = materialise(_compare(spokes.select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct(), sig, hot=True), "join-stars")
+        tables.append(stars)
+        out = add(stars.select("a", "b"))
+        done = stars.filter("near").select(F.col("a").alias("hub"), F.col("b").alias("rid"))
+        posted = materialise(spokes.join(done, ["rid", "hub"], "left_anti").select("band", "rid"), "join-rest")
+        tables.append(posted)
 
 
 class _Unit:
@@ -208,17 +308,9 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     reps = materialise(reps, "join-texts")
 
-    posted = reps.select("rid", F.explode("bands").alias("band"))
-    buckets = posted.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("rid").alias("hub")).filter("size > 1")
-    posted = materialise(posted.join(buckets, "band"), "join-buckets")
-    stars = posted.filter((F.col("size") > LISTED) & (F.col("rid") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct()
-    lists = posted.filter(F.col("size") <= LISTED).groupBy("band").agg(F.array_sort(F.collect_list("rid")).alias("r")).select("r").distinct()
-    pairs = lists.select(
-        F.explode(F.expr("flatten(transform(sequence(1, size(r) - 1), i -> transform(slice(r, i + 1, size(r)), x -> struct(r[i - 1] AS a, x AS b))))")).alias("p")
-    ).select("p.a", "p.b").distinct()
-    sig = reps.select("rid", "sig")
-    pairs = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b")
-    groups = components(_prune(pairs).unionByName(stars))
+    links, tables = _candidates(materialise(reps.select(F.explode("bands").alias("band"), "rid"), "join-bands"), reps.select("rid", "sig"))
+    groups = components(links)
+    discard(*tables)
 
     placed = materialise(
         groups.select(F.col("node").alias("rid"), F.col("root").alias("group")).join(reps.select("rid", "_rl_key", "least_id", "copies", "n"), "rid"), "join-groups"
@@ -226,26 +318,30 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     tiles = placed.groupBy("group").agg(
         F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(TILE_TEXTS), F.sum("n") / F.lit(TILE_SHINGLES))).alias("tiles")
     )
-    needed = placed.join(tiles, "group").withColumn("tile", F.pmod(F.xxhash64("rid"), F.col("tiles")))
+    needed = join_hot(placed, tiles, "group").withColumn("tile", F.pmod(F.xxhash64("rid"), F.col("tiles")))
     grouped, _ = split_by_keys(texts, "_rl_key", placed.select("_rl_key"))  # few texts are in groups; only they move
     sets = _shingle_sets(
-        grouped.withColumnRenamed("doc_id", "least_id").withColumn("_rl_id", F.coalesce("least_id", F.lit(-1).cast(dict(docs.dtypes)["doc_id"])))
+        grouped.withColumnRenamed("doc_id", "least_id")
         .join(
-            needed.select("_rl_key", F.coalesce("least_id", F.lit(-1).cast(dict(docs.dtypes)["doc_id"])).alias("_rl_id"), "group", "tile", "tiles", "rid", "copies"),
-            ["_rl_key", "_rl_id"],
+            needed.select(F.col("_rl_key").alias("_rl_k"), F.col("least_id").alias("_rl_id"), "group", "tile", "tiles", "rid", "copies"),
+            (F.col("_rl_key") == F.col("_rl_k")) & F.col("least_id").eqNullSafe(F.col("_rl_id")),
         )
         .select("group", "tile", "tiles", "rid", "copies", "text")
     )
-    units = materialise(sets, "join-sets").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).select(
+    sets = materialise(sets, "join-sets")
+    units = sets.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).select(
         "group", F.least("tile", "other").alias("one"), F.greatest("tile", "other").alias("two"), "tile", "rid", "copies", "shingles"
     )
     links = materialise(_verify(units), "join-links")
+    discard(sets, placed, groups)
     roots = components(links.select(F.col("mate").alias("a"), F.col("rid").alias("b")))
     counted = links.groupBy("rid").agg(F.sum("linked").alias("linked")).join(roots.withColumnRenamed("node", "rid"), "rid", "left")
     classes = reps.select("rid", "_rl_key", "least_id", "copies").join(counted, "rid", "left").select(
         "_rl_key", "least_id", "copies", F.coalesce("linked", F.lit(0)).alias("linked"), F.coalesce("root", "rid").alias("root")
     )
-    return signed.select("doc_id", "_rl_key", "n"), materialise(classes, "join-classes")
+    classes = materialise(classes, "join-classes")
+    discard(links, roots, reps)
+    return signed.select("doc_id", "_rl_key", "n"), classes
 
 
 def join_similar(docs: DataFrame) -> DataFrame:
@@ -261,30 +357,33 @@ def join_similar(docs: DataFrame) -> DataFrame:
     """
     rows, classes = _classes(docs)
     least = classes.groupBy("root").agg(F.min("least_id").alias("class_id"))
-    by_key = classes.join(least, "root").select("_rl_key", "class_id", (F.col("linked") + F.col("copies") - 1).alias("n_links"))
-    found = rows.join(by_key, "_rl_key", "left")
+    by_key = join_hot(classes, least, "root").select("_rl_key", "class_id", (F.col("linked") + F.col("copies") - 1).alias("n_links"))
+    found = join_hot(rows, by_key, "_rl_key", "left")
     return found.select(
         "doc_id", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
 
 
 def drop_similar(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each class, that of the least id; all columns. Texts without words all stay."""
+    """``docs`` with one document of each class, that of the least id; all columns. Texts without words all stay.
+
+    Of rows that repeat its id and text, that stays whose other columns come first as JSON.
+    """
     _, classes = _classes(docs.select("doc_id", "text"))
     keep = materialise(
         classes.groupBy("root").agg(F.min(F.struct(F.col("least_id").isNull().alias("none"), "least_id", "_rl_key")).alias("k"))
         .select(F.col("k._rl_key").alias("_rl_key"), F.col("k.least_id").alias("_rl_id"), F.lit(1).alias("_rl_keep")),
         "join-keep",
     )
-    key = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    rows = docs.withColumn("_rl_key", key)
-    none = F.lit(-(2**62)).cast(dict(docs.dtypes)["doc_id"])
-    match = (F.col("_rl_key") == F.col("_rl_k")) & (F.coalesce("doc_id", none) == F.coalesce("_rl_id", none))
-    contested = classes.join(classes.groupBy("root").count(), "root").filter("count > 1 OR copies > 1").select("_rl_key")
+    rows = docs.withColumn("_rl_key", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    match = (F.col("_rl_key") == F.col("_rl_k")) & F.col("doc_id").eqNullSafe(F.col("_rl_id"))
+    contested = join_hot(classes, classes.groupBy("root").count(), "root").filter("count > 1 OR copies > 1").select("_rl_key")
     maybe, alone = split_by_keys(rows, "_rl_key", contested)
     stays = maybe.join(keep.withColumnRenamed("_rl_key", "_rl_k"), match, "left_semi")
-    unique = stays.groupBy("_rl_key").count().filter("count > 1").isEmpty()
-    stays = stays if unique else stays.dropDuplicates(["_rl_key"])
+    if not stays.groupBy("_rl_key").count().filter("count > 1").isEmpty():  # repeated rows of one document
+        whole = F.struct(*[F.col(f"`{c}`") for c in stays.columns])
+        others = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")], F.lit(0)))
+        stays = stays.groupBy("_rl_key").agg(F.min_by(whole, others).alias("_rl_row")).select("_rl_row.*")
     has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     stays = stays.unionByName(alone.filter(has_words))
     return stays.unionByName(rows.filter(~has_words)).select(*[F.col(f"`{c}`") for c in docs.columns])

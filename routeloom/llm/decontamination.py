@@ -3,7 +3,8 @@
 Test items are partitioned by their number of shingles. An item's sketch is its bottom-k MinHash, the k
 shingles of lowest hash; k is set by its partition so that a text which contains the threshold's share of the item's
 shingles cannot lack all of them. So any text that shares a sketch value is a candidate, none is missed, and each
-candidate is verified by exact shingle containment. A long text is never compared as a whole.
+candidate is verified by exact shingle containment. The partition decides nothing but k: the sketches of all partitions are one
+sorted table of values, so a text's shingles are looked up once. A long text is never compared as a whole.
 """
 
 from __future__ import annotations
@@ -82,48 +83,55 @@ class ItemIndex:
         return set(zip(*[words[j:] for j in range(self.k)], strict=False))
 
 
-def _indexes(items: DataFrame, threshold: float, k: int, block_chars: int) -> Iterator:
-    """Broadcast indexes of the items, block by block."""
-    chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+def _indexes(texts: DataFrame, threshold: float, k: int, block_chars: int) -> Iterator:
+    """Broadcast indexes of distinct item texts (key, text), block by block. The key decides the block, so each has its share of the characters."""
+    chars = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = int(chars // block_chars) + 1
-    block_of = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     for block in range(blocks):
         by_k: dict[int, list] = {}
-        for r in items.select("item_id", "text").filter(block_of == block).collect():  # block_chars or so
+        for r in texts.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == block).collect():  # block_chars or so
             if words := _words(r["text"]):
-                by_k.setdefault(min(k, len(words)), []).append((r["item_id"], r["text"]))
-        yield items.sparkSession.sparkContext.broadcast([ItemIndex(v, n, threshold) for n, v in sorted(by_k.items())])
+                by_k.setdefault(min(k, len(words)), []).append((r["key"], r["text"]))
+        yield texts.sparkSession.sparkContext.broadcast([ItemIndex(v, n, threshold) for n, v in sorted(by_k.items())])
+
+
+def _keyed(items: DataFrame) -> DataFrame:
+    return items.filter("text IS NOT NULL").withColumn("key", F.md5(F.col("text").cast("binary")))
+
+
+def _texts(items: DataFrame) -> DataFrame:
+    """``key, text`` of the distinct texts of ``items``."""
+    return _keyed(items).groupBy("key").agg(F.first("text").alias("text"))
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, *, threshold: float = THRESHOLD, k: int = WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``doc_id, item_id, shared, item_shingles, containment`` for every document and test item it contains.
 
-    ``docs`` (doc_id, text), ``items`` (item_id, text). Words are runs of letters and digits, in lower case;
+    ``docs`` (doc_id, text), ``items`` (item_id, text), ids of any type. Words are runs of letters and digits, in lower case;
     a document contains an item if it has ``threshold`` of the item's ``k``-word shingles. Of an item of fewer words, all of them in a row are
     its one shingle; items without words are contained nowhere.
 
-    Null texts are empty; null ids stay null. A row for each repeated document or item row; other columns are ignored.
+    Null texts are empty; null ids stay null. A row for each repeated document or item row, though a text is searched once; other columns are ignored.
     """
     small_arrow_batches(docs.sparkSession)
-    item_type = dict(items.dtypes)["item_id"]
-    names = ["doc_id", "item_id", "shared", "item_shingles", "containment"]
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {item_type}, shared long, item_shingles long, containment double"
-    out = None
-    for indexes in _indexes(items, threshold, k, block_chars):
+    names = ["doc_id", "key", "shared", "item_shingles", "containment"]
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, key string, shared long, item_shingles long, containment double"
+    found = None
+    for indexes in _indexes(_texts(items), threshold, k, block_chars):
 
         def search(batches: Iterator[pa.RecordBatch], indexes=indexes) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows, ids, shared, sizes = [], [], [], []
+                rows, keys, shared, sizes = [], [], [], []
                 for index in indexes.value:
                     for row, item, n in index.search(batch.column(1)):
                         rows.append(row)
-                        ids.append(index.ids[item])
+                        keys.append(index.ids[item])
                         shared.append(n)
                         sizes.append(len(index.sets[item]))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(rows, pa.int64())),
-                        pa.array(ids, pa.string() if item_type == "string" else pa.int64()),
+                        pa.array(keys, pa.string()),
                         pa.array(shared, pa.int64()),
                         pa.array(sizes, pa.int64()),
                         pa.array([n / s for n, s in zip(shared, sizes, strict=True)], pa.float64()),
@@ -131,16 +139,16 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, threshold: float = THRESHOL
                     names=names,
                 )
 
-        found = docs.select("doc_id", "text").mapInArrow(search, schema)
-        out = found if out is None else out.unionByName(found)
-    return out
+        part = docs.select("doc_id", "text").mapInArrow(search, schema)
+        found = part if found is None else found.unionByName(part)
+    return found.join(_keyed(items).select("key", "item_id"), "key").select("doc_id", "item_id", *names[2:])
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, *, threshold: float = THRESHOLD, k: int = WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``docs`` without the rows that contain a test item; the rest as it was, null texts and repeated rows included."""
     small_arrow_batches(docs.sparkSession)
     at = docs.columns.index("text")
-    for indexes in _indexes(items, threshold, k, block_chars):
+    for indexes in _indexes(_texts(items), threshold, k, block_chars):
 
         def clean(batches: Iterator[pa.RecordBatch], indexes=indexes) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -8,6 +8,7 @@ import string
 import textwrap
 from collections import Counter
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -65,6 +66,12 @@ def test_base_spans_examples(text):
     assert [s for s in pii.find_spans(text) if s[0] in pii.BASE] == plain_spans(text)
 
 
+def test_numbers_of_any_length():
+    long = "0" * 5_000
+    assert pii.find_spans(f"1.2.3.{long}7") == [("ip", 0, 5007)]
+    assert pii.find_spans(f"1.2.3.9{long}") == [] and pii.find_spans(f"{'9' * 5_000}.1.1.1") == []
+
+
 def test_added_spans():
     text = "see HTTPS://ann@site.example/x, IBAN: DE89 3704 0044 0532 0130 00; account no. 12-3456-789. SSN 078-05-1120"
     got = {(k, text[a:b]) for k, a, b in pii.find_spans(text) if k not in pii.BASE}
@@ -145,6 +152,7 @@ def test_rules_and_personal_data_on_odd_rows(spark):
 
 def test_sentences_hold_the_trigger():
     assert all(re.search(licenses.TRIGGER, s) for s in licenses.SENTENCES.values())
+    assert {i for _, seq in licenses.RULES for i in seq} == set(licenses.SENTENCES)
     assert all(i in licenses.SENTENCES for _, seq in licenses.RULES for i in seq)
 
 
@@ -190,18 +198,57 @@ ISC = "Permission to use, copy, modify, and/or distribute this software for any
 MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."
 
 
-@pytest.mark.parametrize("mark", ["", " * ", ";; "])
+GPL2 = """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."""
+GPL2_ONLY = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."
+LGPL = """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."""
+AGPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."""
+EPL = "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0"
+ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""
+WHOLE = [
+    ("MIT", MIT), ("BSD-3-Clause", BSD), ("BSD-2-Clause", BSD.split("\n\n3.")[0]), ("GPL-3.0", GPL), ("GPL-2.0", GPL2), ("GPL-2.0-only", GPL2_ONLY), ("LGPL-2.1", LGPL),
+    ("AGPL-3.0", AGPL), ("Apache-2.0", APACHE), ("ISC", ISC), ("MPL-2.0", MPL), ("EPL-2.0", EPL), ("Zlib", ZLIB), ("Unlicense", UNLICENSE),
+    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"), ("GPL-3.0-or-later", "SPDX-License-Identifier: GPL-3.0-or-later"), ("SPDX:mit-or-x-2", "SPDX-License-Identifier: MIT OR X-2"),
+]
+
+
+@pytest.mark.parametrize("mark", ["", " * ", ";; ", "# ", "// "])
 def test_wrapped_licenses(spark, mark):
-    wrapped = lambda s: "\n".join(mark + x for p in s.split("\n") for x in textwrap.wrap(p, 72 - len(mark)) or [""])
-    whole = {"MIT": MIT, "BSD-3-Clause": BSD, "GPL-3.0": GPL, "Apache-2.0": APACHE, "ISC": ISC, "MPL-2.0": MPL}
-    texts = [f(t) for t in whole.values() for f in (str, wrapped, lambda s: wrapped(s).replace("\n", "\r\n"))]
+    """Texts as files have them give exactly their licence, and the SQL says the same."""
+    wrapped = lambda s: "\n".join(mark + x for p in s.split("\n") for x in textwrap.wrap(p, 72 - len(mark), break_on_hyphens=False) or [""])
+    forms = (str, wrapped, lambda s: wrapped(s).replace("\n", "\r\n"), lambda s: f"/*\n{wrapped(s)}\n */\nint main() {{}}\n")
+    texts = [f(t) for _, t in WHOLE for f in forms]
     cut = wrapped("Released under the") + "\n" + mark.rstrip() + "\n" + mark + "MIT License"  # a blank line ends a sentence
-    texts += [cut, wrapped("Released under the MIT License\nReleased under the MIT License\nand more")]
-    got = {r["n"]: r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "n long, text string")).collect()}
-    for i, name in enumerate(whole):
-        one_line, *folded = (got[3 * i + k] for k in range(3))
-        assert all(r["sentence_ids"] == one_line["sentence_ids"] and name in r["licenses"].split(",") for r in (one_line, *folded)), (name, one_line, folded)
-    assert got[18]["sentence_ids"] == "mit-title-short" and got[19]["sentence_ids"] == "mit-notice,mit-notice"
+    texts += [cut, wrapped("Released under the MIT License\nReleased under the MIT License\nand more"), wrapped(MIT) + "\n\n" + wrapped(BSD)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(docs).collect()}
+    for i, (name, _) in enumerate(WHOLE):
+        assert [got[len(forms) * i + k]["licenses"] for k in range(len(forms))] == [name] * len(forms), (name, got[len(forms) * i])
+    n = len(WHOLE) * len(forms)
+    assert got[n]["sentence_ids"] == "mit-title-short" and got[n + 1]["sentence_ids"] == "mit-notice,mit-notice" and got[n + 2]["licenses"] == "MIT,BSD-3-Clause"
+    assert as_sql(licenses.SQL, docs) == sorted(tuple(r) for r in licenses.scan_licenses(docs).drop("text").collect())
+
+
+def as_sql(sql, docs):
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    return sorted(con.execute(sql).fetchall())
+
+
+def test_license_of_long_and_no_text(spark):
+    filler = "plain words without meaning\n" * 60_000
+    rows = [(1, filler + MIT + "\n\n" + filler), (2, filler)]
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "MIT", 2: ""}
+    assert licenses.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
 CHATTY = st.lists(st.sampled_from(["</s>", "[INST] ", " [/INST]", "<<ROLE>>", "<</ROLE>>", "<s>", "\\", "a", " ", "\n", "user", "<", "[", "/"]), max_size=8).map("".join)
@@ -223,6 +270,15 @@ def test_plain_turns_are_not_escaped():
     assert chat.render_turn("assistant", "end\\") == "end\\</s>"
 
 
+@pytest.mark.parametrize("kind", ["int", "bigint", "string", "smallint"])
+def test_chat_ids_of_any_type(spark, kind):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (None, 0, "user", "c")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    turns = turns.withColumn("conv_id", turns["conv_id"].cast(kind))
+    back = chat.read_back(chat.format_turns(turns))
+    assert dict(back.dtypes)["conv_id"] == kind and {r["n_turns"] for r in back.collect()} == {1, 2}
+
+
 def test_chat_digests(spark):
     rows = [
         (1, 1, "assistant", "b </s>", 0), (1, 0, "user", None, 0), (1, 1, "assistant", "b </s>", 0), (None, None, None, "x", 0), (2, 0, "system", "s", 0),

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from routeloom.llm import decontamination, jaccard_join, mixing, quality_model, sharding, token_shards
+from routeloom.llm import common, decontamination, jaccard_join, mixing, quality_model, sharding
 from routeloom.llm.common import doc_key
 from routeloom.llm.components import components
 from pyspark.sql import functions as F
@@ -82,6 +82,45 @@ def test_join_of_a_large_group(spark, monkeypatch):
     check_join(spark, rows, "doc_id long, text string")
 
 
+@pytest.mark.parametrize("families", [1, 6])
+def test_join_where_passages_are_shared(spark, monkeypatch, families):
+    """Large buckets of texts that share a passage only, with families of near-copies among them, and chains of slow change."""
+    monkeypatch.setattr(jaccard_join, "LISTED", 3)
+    monkeypatch.setattr(jaccard_join, "TILE_TEXTS", 16)
+    rng = random.Random(11)
+    passage = words(rng, 60)
+    texts = [" ".join(words(rng, 15) + passage + words(rng, 15)) for _ in range(60)]
+    for _ in range(families):
+        base = words(rng, 12) + passage + words(rng, 12)
+        for _ in range(20):
+            edited = list(base)
+            for _ in range(rng.randrange(3)):
+                edited[rng.randrange(len(edited))] = "edit" + str(rng.randrange(100))
+            texts.append(" ".join(edited))
+    chain = words(rng, 100)
+    for i in range(40):
+        texts.append(" ".join(chain[i:] + [f"tail{j}" for j in range(i)]))
+    check_join(spark, list(enumerate(texts)), "doc_id int, text string")
+
+
+def test_join_of_hot_keys(spark, monkeypatch):
+    """Keys that hold many rows are joined by broadcast: exact copies, and one large group."""
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    rng = random.Random(12)
+    texts = near_copies(rng, 2, 30, 60)
+    check_join(spark, list(enumerate(texts + [texts[0]] * 20 + [""] * 20 + [None] * 9)), "doc_id long, text string")
+
+
+@pytest.mark.parametrize("kind", ["int", "bigint", "string", "smallint"])
+def test_one_document_stays_whatever_the_ids_are(spark, kind):
+    rows = [(1, "a b c d e f", "x"), (2, "a b c d e f", "y"), (2, "a b c d e f", "b"), (None, "a b c d e f", "z"), (3, "other words altogether here now", "x"), (None, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    kept = jaccard_join.drop_similar(docs)
+    assert sorted(map(str, (tuple(r) for r in kept.collect()))) == sorted(map(str, [(r[0] if kind != "string" or r[0] is None else str(r[0]), *r[1:]) for r in (rows[0], rows[4], rows[5])]))
+    again = jaccard_join.drop_similar(docs.filter("doc_id = 2")).collect()
+    assert [r["source"] for r in again] == ["b"]  # of repeated rows, that whose other columns come first
+
+
 def test_join_on_odd_rows(spark, odd, nothing):
     check_join(spark, odd_documents(), SCHEMA)
     assert jaccard_join.join_similar(nothing).count() == 0
@@ -142,6 +181,11 @@ def test_leaks(spark, odd, nothing):
     for block in (16_000_000, 300):  # in one block, and in several
         got = decontamination.find_leaks(frame, tests, block_chars=block)
         assert {(r["doc_id"], r["item_id"], r["shared"]) for r in got.collect()} == want
+    for kind in ("int", "string"):  # ids of any type; repeated items give their rows each
+        twice = tests.unionByName(tests.filter("item_id = 5")).withColumn("item_id", F.col("item_id").cast(kind))
+        got = Counter((r["doc_id"], r["item_id"], r["shared"]) for r in decontamination.find_leaks(frame, twice, block_chars=300).collect())
+        own = {"int": lambda i: i, "string": lambda i: None if i is None else str(i)}[kind]
+        assert got == Counter({(d, own(i), n): 2 if i == 5 else 1 for d, i, n in want})
     clean = decontamination.drop_leaks(frame, tests, block_chars=300)
     assert {r["doc_id"] for r in clean.collect()} == set(range(60)) - {d for d, _, _ in want} and clean.columns == frame.columns
     leaked = {n for n, _, _ in brute([(n, r[1]) for n, r in enumerate(odd_documents())])}
@@ -209,42 +253,3 @@ def test_quality_model_learns(spark, odd, nothing):
     assert quality_model.keep_good(odd, model).columns == odd.columns
     untaught = quality_model.train(nothing, truth)
     assert quality_model.keep_good(odd, untaught).count() == odd.count() and quality_model.score_documents(nothing, model).count() == 0
-
-
-def test_permutation():
-    for n in (1, 2, 3, 17, 1000, 4097):
-        slots = token_shards.permute(np.arange(n), n)
-        assert sorted(slots) == list(range(n))
-    assert list(token_shards.permute(np.arange(100), 100, key=1)) != list(token_shards.permute(np.arange(100), 100, key=2))
-
-
-def test_token_shards(spark, odd, nothing, tmp_path):
-    ranks = token_shards.load_ranks()
-    seqs = token_shards.sequences(odd, ranks, tokens=64)
-    made = token_shards.shards(seqs, tokens=64, per_shard=10)
-    token_shards.write_shards(made, str(tmp_path / "shards"))
-    back = spark.read.parquet(str(tmp_path / "shards"))
-    records = token_shards.read_shards(back, tokens=64).orderBy("slot").collect()
-    assert [r["slot"] for r in records] == list(range(len(records)))
-    assert all(r["shard"] == r["slot"] // 10 and r["byte_offset"] == r["slot"] % 10 * token_shards.record_type(64).itemsize for r in records)
-    coder = token_shards.coder(ranks)
-    want = Counter(len(coder.encode_ordinary(r[1] or "")) + 1 for r in odd_documents())
-    texts = defaultdict(dict)
-    kind = token_shards.record_type(64)
-    for row in back.orderBy("shard").collect():
-        for rec in np.frombuffer(row["payload"], kind):
-            texts[(int(rec["doc_id"]), int(rec["has_id"]))].setdefault(int(rec["part"]), []).append(rec["tokens"][: rec["n_tokens"]])
-    assert sum(len(p) for v in texts.values() for ps in v.values() for p in ps) == sum(k * n for k, n in want.items())
-    whole = np.concatenate([texts[(6, 1)][i][0] for i in sorted(texts[(6, 1)])])
-    assert coder.decode(whole[:-1].tolist()) == next(r[1] for r in odd_documents() if r[0] == 6) and whole[-1] == token_shards.END_OF_TEXT
-    assert [r["shard"] for r in token_shards.resume(spark, str(tmp_path / "shards"), 25, per_shard=10).select("shard").take(2)] == [2, 3]
-    assert token_shards.read_shards(token_shards.shards(token_shards.sequences(nothing, ranks))).count() == 0
-
-
-def test_token_query_reads_written_shards(spark):
-    got = token_shards.query(spark, "/root/testdata/sf0.001")
-    files = got.inputFiles()
-    assert files and all("/token-shards-" in f for f in files)
-    written = spark.read.parquet(*files)
-    assert written.columns == ["shard", "first_slot", "n_sequences", "payload"]
-    assert {r["slot"] for r in got.collect()} == set(range(written.agg(F.sum("n_sequences")).first()[0]))

@@ -41,43 +41,91 @@ def route_key() -> list[Column]:
 _ROUTE = ("method", "path", "handler", "file", "repo", "service", "confidence", "status", "evidence")
 
 
+#: Candidates of a route that are looked at in order at once: those of so many values of ``ord``.
+BLOCK = 65_536
+
+
+def _class(status: Column, file: Column) -> Column:
+    """0 to 5: deterministic candidates before others, then by the role of the file."""
+    role = file_role(file)
+    return F.when(status == "deterministic", 0).otherwise(3) + F.when(role == "source_route_candidate", 0).when(role == "unknown", 1).otherwise(2)
+
+
+def _leaders(rows: DataFrame, key: list[str]) -> DataFrame:
+    """``rows`` (key, ord, confidence, _class) with ``_n``, the rows of the key, ``_final``, the confidence that its merge ends with,
+    ``_stretch``, the best class so far, and ``_led``: whether a row took the lead when it came.
+
+    A row leads if its class is better than all before, or if it is of the leading class and more confident than the merged row. That one's
+    confidence is its leader's, or, where it has none, the first that came along: ``_filled``. There are at most six stretches.
+    """
+    firsts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), *[F.min(F.when(F.col("_class") == k, F.col("ord"))).alias(f"_p{k}") for k in range(6)])
+    stretch = chain([(F.coalesce(F.col(f"_p{k}") <= F.col("ord"), F.lit(False)), k) for k in range(6)])
+    placed = rows.join(firsts, key).withColumn("_stretch", stretch).drop(*[f"_p{k}" for k in range(6)])
+
+    own = F.col("_class") == F.col("_stretch")
+    said = F.col("confidence").isNotNull()
+    parts = placed.groupBy(*key, "_stretch").agg(
+        F.min(F.struct("ord", "confidence")).alias("first"), F.max(F.when(own, F.col("confidence"))).alias("most"), F.min(F.when(said, F.struct("ord", "confidence", own.alias("own")))).alias("known")
+    )
+    # the few stretches of a route, from the worst class on: what each starts with, and ends with
+    now = F.struct(F.lit(None).cast("double").alias("carry"), F.array().cast("array<struct<_stretch:int,_filled:double>>").alias("out"))
+    part = F.struct(F.col("_stretch").alias("k"), F.col("first.confidence").alias("c"), "most", "known")
+
+    def step(acc: Column, x: Column) -> Column:
+        late = F.when(~x["known"]["own"], x["known"]["confidence"])
+        filled = F.when(x["c"].isNull(), F.coalesce(acc["carry"], late))
+        ends = F.greatest(F.coalesce(x["c"], acc["carry"], x["known"]["confidence"]), x["most"])
+        return F.struct(ends.alias("carry"), F.concat(acc["out"], F.array(F.struct(x["k"].alias("_stretch"), filled.alias("_filled")))).alias("out"))
+
+    folded = parts.groupBy(*key).agg(F.reverse(F.array_sort(F.collect_list(part))).alias("parts")).select(*key, F.aggregate("parts", now, step).alias("f"))
+    fills = folded.select(*key, F.col("f.carry").alias("_final"), F.explode("f.out").alias("x")).select(*key, "_final", "x.*")
+
+    where = [*key, "_stretch"]
+    blocked = placed.join(fills, where).withColumn("_block", F.floor(F.col("ord") / BLOCK))
+    own_confidence = F.when(own, F.col("confidence"))
+    earlier = Window.partitionBy(*where).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocked.groupBy(*where, "_block").agg(F.max(own_confidence).alias("_most"), F.min("ord").alias("_least")).select(
+        *where, "_block", F.max("_most").over(earlier).alias("_before"), F.min("_least").over(Window.partitionBy(*where).orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)).alias("_start")
+    )
+    inside = Window.partitionBy(*where, "_block").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    most = F.greatest(F.max(own_confidence).over(inside), F.col("_before"), F.col("_filled"))
+    beats = own & said & F.coalesce(F.col("confidence") > most, F.lit(True))
+    return blocked.join(blocks, [*where, "_block"]).withColumn("_led", (F.col("ord") == F.col("_start")) | beats).drop("_block", "_before", "_start", "_filled")
+
+
 def merge_routes(candidates: DataFrame) -> DataFrame:
-    """One row per route of ``candidates`` (ord, method, path, handler, file, repo, service, confidence, status, evidence).
+    """One row per route of ``candidates`` (ord, method, path, handler, file, repo, service, confidence, status, evidence); ``ord`` is unique.
 
     A left fold in order of ``ord``: of two candidates the deterministic one wins, then that of the better file role, then the more
     confident one, then the earlier; the winner takes the loser's service, confidence and status where it has none, never its handler, and
-    the evidence of both, declarations alone if there are any. Priorities are those of the merged row at each step.
+    the evidence of both, its own first, declarations alone if there are any. Priorities are those of the merged row at each step.
 
-    Repeated candidates collapse before they meet, so a route's group holds its distinct candidates only.
+    The fold is not run: who leads at each step follows from running extremes, and all the rest from who led. A status that is filled in never
+    changes a priority, for a deterministic candidate is never the loser of another kind. Aggregates combine before they shuffle, and
+    what must be looked at in order is cut into blocks of ``ord``, so a route may have any number of candidates.
     """
-    once = candidates.groupBy(*[F.col(c) for c in _ROUTE]).agg(F.min("ord").alias("ord"))
-    rank = F.struct(
-        F.when(F.col("status") == "deterministic", 0).otherwise(1).alias("a"),
-        F.when(file_role(F.col("file")) == "source_route_candidate", 0).when(file_role(F.col("file")) == "unknown", 1).otherwise(2).alias("b"),
+    key = ["_repo", "_method", "_path"]
+    repo, method, path = route_key()
+    rows = candidates.select(F.coalesce(repo, F.lit("")).alias("_repo"), method, path, "ord", *_ROUTE, _class(F.col("status"), F.col("file")).alias("_class"))
+    led = _leaders(rows.drop("evidence"), key)
+    last = lambda c: F.max_by(c, F.when(F.col("_led") & F.col(c).isNotNull(), F.col("ord")))
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("ord")))
+    winner = F.max_by(F.struct("ord", "method", "path", "handler", "file", "repo"), F.when(F.col("_led"), F.col("ord")))
+    merged = led.groupBy(*key).agg(
+        winner.alias("w"), F.count(F.lit(1)).alias("n"), F.first("_final").alias("confidence"), *[F.coalesce(last(c), first(c)).alias(c) for c in ("service", "status")]
     )
-    row = F.struct("ord", *[F.col(c) for c in _ROUTE], rank.alias("rank"))
-    grouped = once.groupBy(*route_key()).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-
-    def priority(r: Column) -> Column:
-        # status may have been filled from the loser, so it is looked at anew
-        return F.struct(
-            F.when(r["status"] == "deterministic", 0).otherwise(1), r["rank"]["b"], -F.coalesce(r["confidence"], F.lit(-1.0))
-        )
-
-    def fold(now: Column, r: Column) -> Column:
-        better = priority(r) < priority(now)
-        pick = lambda k: F.when(better, r[k]).otherwise(now[k])
-        fill = lambda k: F.when(better, F.coalesce(r[k], now[k])).otherwise(F.coalesce(now[k], r[k]))
-        both = F.when(better, F.concat(r["evidence"], now["evidence"])).otherwise(F.concat(now["evidence"], r["evidence"]))
-        fields = {k: pick(k) for k in ("ord", "method", "path", "handler", "file", "repo")}
-        fields |= {k: fill(k) for k in ("service", "confidence", "status")}
-        fields["evidence"] = ev.prefer_declarations(ev.dedupe(both))
-        fields["rank"] = pick("rank")
-        return F.struct(*[c.alias(k) for k, c in fields.items()])
-
-    merged = grouped.select(F.aggregate(F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(0))), F.element_at("rows", 1), fold).alias("r"))
-    return merged.select(
-        routes.method(F.col("r.method")).alias("method"), routes.path_identity(F.col("r.path")).alias("path"), *[f"r.{c}" for c in _ROUTE[2:]]
+
+    # leaders push their evidence to the front, the latest first; the others append theirs
+    place = F.struct(~F.col("_led"), F.when(F.col("_led"), -F.col("ord")).otherwise(F.col("ord")), "pos")
+    pieces = rows.select(*key, "ord", F.posexplode("evidence").alias("pos", "e")).join(led.select("ord", "_led", "_n"), "ord")
+    same = [F.col("e.file").alias("_f"), *[F.coalesce(F.col("e")[k], F.lit("")).alias(f"_{k}") for k in ("symbol", "label", "snippet")]]
+    single = F.when(F.col("_n") == 1, F.col("pos")).alias("_single")  # a candidate that meets no other keeps its evidence as it is
+    distinct = pieces.groupBy(*key, *same, single).agg(F.min(F.struct(place.alias("at"), "e")).alias("p"))
+    gathered = distinct.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["e"]).alias("evidence"))
+    kept = F.when(F.col("n") == 1, F.col("evidence")).otherwise(ev.prefer_declarations(F.col("evidence")))
+    return merged.join(gathered, key, "left").select(
+        routes.method(F.col("w.method")).alias("method"), routes.path_identity(F.col("w.path")).alias("path"), "w.handler", "w.file", "w.repo", "service", "confidence", "status",
+        F.coalesce(kept, F.array().cast(ev.EVIDENCE)).alias("evidence"),
     )
 
 

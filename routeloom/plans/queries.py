@@ -299,20 +299,34 @@ def dedupe_endpoints(spark, sf_dir):
     )
 
 
-_MERGE_RANK = "struct_pack(a := CASE WHEN status = 'deterministic' THEN 0 ELSE 1 END, b := CASE WHEN file LIKE 'tests/%' THEN 2 ELSE 0 END, c := -coalesce(confidence, -1.0), d := ord)"
+# the left fold as it stands, over each route's candidates in order; evidence is its label
+_FOLD = f"""list_reduce(list_transform(list(struct_pack(ord := ord, status := status, file := file, handler := handler, service := service, confidence := confidence, evidence := [label]) ORDER BY ord),
+    lambda r: struct_pack(r := r, a := CASE WHEN r.status = 'deterministic' THEN 0 ELSE 1 END, b := CASE WHEN r.file LIKE 'tests/%' THEN 2 ELSE 0 END)),
+  lambda m, r: CASE WHEN r.a < m.a OR (r.a = m.a AND (r.b < m.b OR (r.b = m.b AND coalesce(r.r.confidence, -1.0) > coalesce(m.r.confidence, -1.0))))
+    THEN {{}} ELSE {{}} END)"""
+
+
+def _step(w: str, l: str, key: str) -> str:
+    every = f"list_concat({w}.evidence, {l}.evidence)"
+    once = f"list_filter({every}, lambda x, i: list_position({every}, x) = i)"
+    said = f"CASE WHEN len(list_filter({once}, lambda x: x LIKE '@app.%')) > 0 THEN list_filter({once}, lambda x: x LIKE '@app.%') ELSE {once} END"
+    fills = ", ".join(f"{c} := coalesce({w}.{c}, {l}.{c})" for c in ("service", "confidence"))
+    return (
+        f"struct_pack(r := struct_pack(ord := {w}.ord, status := coalesce({w}.status, {l}.status), file := {w}.file, handler := {w}.handler, {fills}, evidence := {said}), a := {key}.a, b := {key}.b)"
+    )
 
 
 @register(
     "merge_routes",
-    f"""WITH {sql.ENDPOINTS} SELECT repo, upper(method) AS method, {sql.identity('path')} AS path, arg_min(coalesce(handler, '-'), {_MERGE_RANK}) AS handler, arg_min(file, {_MERGE_RANK}) AS file,
-        arg_min(ord, {_MERGE_RANK}) AS ord FROM endpoints WHERE status IS NOT NULL AND confidence IS NOT NULL GROUP BY ALL""",
+    f"""WITH {sql.ENDPOINTS}, folded AS (
+        SELECT repo, upper(method) AS method, {sql.identity('path')} AS path, {_FOLD.format(_step('r.r', 'm.r', 'r'), _step('m.r', 'r.r', 'm'))}.r AS r FROM endpoints GROUP BY ALL)
+        SELECT repo, method, path, r.handler AS handler, r.file AS file, r.service AS service, r.confidence AS confidence, r.status AS status, array_to_string(r.evidence, '|') AS evidence FROM folded""",
 )
 def merge_routes(spark, sf_dir):
-    # with a status and a confidence in every row nothing is filled in, so the fold's winner is the best row
-    rows = derive.endpoints(spark, sf_dir).filter("status IS NOT NULL AND confidence IS NOT NULL")
-    rows = rows.withColumn("evidence", F.transform("evidence", lambda e: e.withField("snippet", F.col("ord").cast("string"))))
-    merged = relational.merge_routes(rows.drop("container").withColumn("handler", F.concat(F.coalesce("handler", F.lit("-")), F.lit("@"), "ord")))
-    return merged.select("repo", "method", "path", F.substring_index("handler", "@", 1).alias("handler"), "file", F.substring_index("handler", "@", -1).cast("long").alias("ord"))
+    # evidence is told apart by its label alone, as in the SQL
+    rows = derive.endpoints(spark, sf_dir).withColumn("evidence", F.transform("evidence", lambda e: e.withField("file", F.lit("f"))))
+    merged = relational.merge_routes(rows.drop("container"))
+    return merged.withColumn("evidence", F.array_join(F.transform("evidence", lambda e: e["label"]), "|"))
 
 
 @register(

@@ -1,5 +1,7 @@
 """Operators on small inputs with known results."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,6 +100,65 @@ def test_merge_is_a_left_fold(spark):
     assert (partial["handler"], partial["service"], partial["confidence"]) == ("q", "s", 0.3)
 
 
+def plain_merge(rows):
+    """The fold, one candidate after the other."""
+    role = {"x.py": 0, "y.py": 0, "notes": 1, "tests/x.py": 2}
+    rank = lambda r: (r["status"] != "deterministic", role[r["file"]], -(-1.0 if r["confidence"] is None else r["confidence"]))
+    high = lambda e: "@app.get" in (e[2] or "") and "client.get(" not in e[2]
+    now = None
+    for r in rows:
+        if now is None:
+            now = dict(r)
+            continue
+        won, lost = (r, now) if rank(r) < rank(now) else (now, r)
+        evidence, seen = [], set()
+        for e in won["evidence"] + lost["evidence"]:
+            if (k := tuple(x or "" for x in e)) not in seen:
+                seen.add(k)
+                evidence.append(e)
+        if any(map(high, evidence)):
+            evidence = [e for e in evidence if high(e)]
+        now = {**won, "evidence": evidence, **{c: won[c] if won[c] is not None else lost[c] for c in ("service", "confidence", "status")}}
+    return now
+
+
+@pytest.mark.parametrize("block", [4, 65_536])
+def test_merge_is_the_fold_for_any_candidates(spark, monkeypatch, block):
+    monkeypatch.setattr(relational, "BLOCK", block)
+    rng, rows, names = random.Random(block), [], ("ord", "method", "path", "handler", "file", "repo", "service", "confidence", "status", "evidence")
+    for route in range(150):
+        quiet = rng.random()
+        for _ in range(rng.choice([1, 2, 3, 5, 9, 20])):
+            file = rng.choice(["x.py", "y.py", "notes", "tests/x.py"])
+            evidence = [(rng.choice(["x.py", "n"]), rng.choice([None, ""]), rng.choice([None, "seen", "client.get('/a')", "seen2"] + ["@app.get('/a')"] * (route % 3)), None) for _ in range(rng.randrange(4))]
+            rows.append((
+                "get", f"/a/{route}", f"h{len(rows)}", file, "r", rng.choice([None, None, "s1", "s2", ""]), None if rng.random() < quiet else rng.choice([0.0, 0.3, 0.5, 0.9]),
+                rng.choice([None, "llm", "other"] + ["deterministic"] * (route % 2)), evidence,
+            ))
+    rng.shuffle(rows)
+    rows = [dict(zip(names, (i, *r))) for i, r in enumerate(rows)]
+    want = {}
+    for r in rows:
+        want.setdefault(r["path"], []).append(r)
+    got = {r["path"]: r.asDict() for r in relational.merge_routes(spark.createDataFrame([tuple(r.values()) for r in rows], ROUTE).repartition(5)).collect()}
+    for path, group in want.items():
+        w = plain_merge(group)
+        g = {**got[path], "evidence": [tuple(e) for e in got[path]["evidence"]]}
+        assert g == {k: w[k] for k in g if k != "method"} | {"method": "GET"}, path
+    assert len(got) == len(want)
+
+
+def test_merge_of_many_candidates(spark):
+    n = 10_000
+    df = spark.range(n).selectExpr(
+        "id AS ord", "'get' AS method", "'/one' AS path", "concat('h', id) AS handler", "'x.py' AS file", "'r' AS repo", "string(null) AS service", "(id * 7919 % 10007) / 10007D AS confidence",
+        "'llm' AS status", "array(named_struct('file', 'x.py', 'symbol', string(null), 'label', concat('seen', id), 'snippet', string(null))) AS evidence",
+    )
+    (row,) = relational.merge_routes(df).collect()
+    best = max(range(n), key=lambda i: (i * 7919 % 10007, -i))
+    assert row["handler"] == f"h{best}" and len(row["evidence"]) == n
+
+
 def test_target_match(spark):
     df = routes_frame(spark, [("POST", "/checkout", "a", "x.py", None, 0.4, None, None), ("GET", "/checkout", "b", "x.py", None, 0.9, None, None), ("GET", "/status/", "c", "x.py", None, None, None, None)])
     assert [(r["handler"], r["rank"]) for r in relational.match_target(df, "/checkout", "post").collect()] == [("a", 1)]

@@ -42,13 +42,13 @@ def per_file(files: DataFrame, parse: Callable[[str], list[dict]], schema: str,
 
 
 def declared_routes(files: DataFrame) -> DataFrame:
-    """Routes declared in source files (repo, path, text), in the shape that merging takes."""
+    """Routes declared in source files (repo, path, text), in the shape that merging takes but for its ``ord``; ``pos`` is a route's place in its file."""
     found = per_file(
         files.filter(kinds.file_role(F.col("path")) == "source_route_candidate").withColumnRenamed("path", "file"), routes.all_routes,
         "framework string, method string, path string, handler string, line long, label string, snippet string", ("repo", "file"),
     )
     return found.select(
-        F.monotonically_increasing_id().alias("ord"), "method", "path", "handler", "file", "repo", F.lit(None).cast("string").alias("service"), F.lit(1.0).alias("confidence"),
+        "pos", "method", "path", "handler", "file", "repo", F.lit(None).cast("string").alias("service"), F.lit(1.0).alias("confidence"),
         F.lit("deterministic").alias("status"), F.array(F.struct("file", F.col("handler").alias("symbol"), "label", "snippet")).alias("evidence"), "framework", "line",
     )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -88,6 +89,27 @@ CATEGORIES = (
 )
 
 
+# What statements show by the words they hold, and by their form.
+SIGNAL_WORDS = {
+    "await_call": ("await ",),
+    "possible_db_call": ("db.query", ".query(", ".insert", ".update", ".delete", ".save", ".create", ".find"),
+    "possible_external_call": ("upload", "fetch(", "axios.", "request(", "s3", "queue", "publish", "sendemail"),
+    "request_body_read": ("req.body", "request.body"),
+    "request_params_read": ("req.params", "request.params"),
+    "request_query_read": ("req.query", "request.query"),
+    "response_return": ("res.status", "res.send", "res.json", "return "),
+    "sql_literal": ("insert into", "select ", "update ", "delete from"),
+}
+SIGNAL_FORMS = {"branch": (r"\bif\s*\(",), "response_transform": (r"\bdata\.[a-z_]\w*\s*=",)}
+
+# What messages of failed model calls say, and what that means, in the order they are tried.
+ERROR_WORDS = (
+    ("auth/config failure", ("api key is not configured", "api_key", "not set")),
+    ("network/connectivity failure", ("unavailable at", "timed out", "reachable", "connection", "network")),
+    ("model output parse failure", ("not valid json", "non-json", "missing completion text", "missing 'response' text", "parse")),
+)
+
+
 def any_of(c: Column, marks) -> Column:
     """Whether ``c`` holds one of ``marks``."""
     return reduce(lambda a, b: a | b, [c.contains(m) for m in marks])
@@ -197,21 +219,10 @@ def step_name(kind: Column, detail: Column) -> Column:
 
 
 def statement_signals(text: Column) -> Column:
-    """Sorted signals of a statement."""
+    """Sorted signals of a statement. Its text is read once for each signal."""
     t = F.lower(text)
-    rules = {
-        "await_call": t.contains("await "),
-        "branch": t.rlike(r"\bif\s*\("),
-        "possible_db_call": any_of(t, ("db.query", ".query(", ".insert", ".update", ".delete", ".save", ".create", ".find")),
-        "possible_external_call": any_of(t, ("upload", "fetch(", "axios.", "request(", "s3", "queue", "publish", "sendemail")),
-        "request_body_read": any_of(t, ("req.body", "request.body")),
-        "request_params_read": any_of(t, ("req.params", "request.params")),
-        "request_query_read": any_of(t, ("req.query", "request.query")),
-        "response_return": any_of(t, ("res.status", "res.send", "res.json", "return ")),
-        "response_transform": t.rlike(r"\bdata\.[a-z_]\w*\s*="),
-        "sql_literal": any_of(t, ("insert into", "select ", "update ", "delete from")),
-    }
-    return F.array_compact(F.array(*[F.when(c, F.lit(s)) for s, c in rules.items()]))
+    found = {s: t.rlike("|".join([*map(re.escape, SIGNAL_WORDS.get(s, ())), *SIGNAL_FORMS.get(s, ())])) for s in (*SIGNAL_WORDS, *SIGNAL_FORMS)}
+    return F.array_remove(F.array(*[F.when(found[s], F.lit(s)).otherwise(F.lit("")) for s in sorted(found)]), "")
 
 
 def statement_kind(text: Column, signals: Column) -> Column:
@@ -235,15 +246,9 @@ def statement_confidence(text: Column, signals: Column) -> Column:
 def error_class(message: Column) -> Column:
     """Where a failed call to a model server went wrong."""
     m = F.lower(message)
-    return chain(
-        [
-            (any_of(m, ("api key is not configured", "api_key", "not set")), "auth/config failure"),
-            (m.contains("model not available") | (m.contains("model '") & m.contains("not found")), "model unavailable"),
-            (any_of(m, ("unavailable at", "timed out", "reachable", "connection", "network")), "network/connectivity failure"),
-            (any_of(m, ("not valid json", "non-json", "missing completion text", "missing 'response' text", "parse")), "model output parse failure"),
-        ],
-        "llm failure",
-    )
+    config, *others = [(any_of(m, words), name) for name, words in ERROR_WORDS]
+    missing = m.contains("model not available") | (m.contains("model '") & m.contains("not found"))
+    return chain([config, (missing, "model unavailable"), *others], "llm failure")
 
 
 def test_category(c: Column) -> Column:

@@ -20,7 +20,8 @@ def strip(c: Column) -> Column:
 
 
 def blank_to_null(c: Column) -> Column:
-    return F.nullif(c, F.lit(""))
+    """``c`` is looked at once, where a comparison would have it computed twice, and its parts four times."""
+    return F.try_element_at(F.regexp_extract_all(c, F.lit("(?s).+"), F.lit(0)), F.lit(1))
 
 
 def method(c: Column) -> Column:
@@ -34,7 +35,7 @@ def call_verb(c: Column) -> Column:
 
 
 def _rooted(c: Column) -> Column:
-    return F.when(c.startswith("/"), c).otherwise(F.concat(F.lit("/"), c))
+    return F.regexp_replace(c, r"\A(?!/)", "/")
 
 
 def _one_slash_off(c: Column) -> Column:
@@ -80,14 +81,9 @@ def _unquoted(c: Column) -> Column:
     return F.regexp_replace(strip(c), r"""^["']+|["']+$""", "")
 
 
-def _is_url(c: Column) -> Column:
-    return c.rlike("^https?://")
-
-
 def api_path(c: Column) -> Column:
     """The path of a URL or path: no scheme, host, query or fragment; slashes made one; parameters as they are."""
-    raw = _unquoted(c)
-    bare = F.when(_is_url(raw), F.regexp_replace(raw, r"^https?://[^/?#]*", "")).otherwise(raw)
+    bare = F.regexp_replace(_unquoted(c), r"\Ahttps?://[^/?#]*", "")
     cut = blank_to_null(strip(F.regexp_extract(bare, r"(?s)^[^?#]*", 0)))
     return _one_slash_off(F.regexp_replace(_rooted(cut), "/{2,}", "/"))
 

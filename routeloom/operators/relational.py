@@ -27,6 +27,18 @@ def top_k(df: DataFrame, by: Sequence, order: Sequence[Column], k: int) -> DataF
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= k)
 
 
+def numbered(rows: DataFrame, whole: Sequence[str], part: str, order: Sequence[Column]) -> DataFrame:
+    """``rows`` with ``ord``: 0, 1, 2 … in each ``whole``, by ``part`` and, within it, by ``order``. However rows are split over tasks, the numbers are the same.
+
+    Only numbers of rows are looked at in order over a whole; rows themselves within a part.
+    """
+    keys = [*whole, part]
+    before = Window.partitionBy(*whole).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    bases = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+    return rows.withColumn("_inside", inside).join(bases, keys).withColumn("ord", F.col("_base") + F.col("_inside")).drop("_base", "_inside")
+
+
 def route_key() -> list[Column]:
     """One key for a route in all its spellings; routes without method or path keep theirs as they are."""
     method, path = F.coalesce(routes.method(F.col("method")), F.lit("")), F.coalesce(routes.path_identity(F.col("path")), F.lit(""))
@@ -94,7 +106,7 @@ def _leaders(rows: DataFrame, key: list[str]) -> DataFrame:
 
 
 def merge_routes(candidates: DataFrame) -> DataFrame:
-    """One row per route of ``candidates`` (ord, method, path, handler, file, repo, service, confidence, status, evidence); ``ord`` is unique.
+    """One row per route of ``candidates`` (ord, method, path, handler, file, repo, service, confidence, status, evidence); ``ord`` is unique in a repository.
 
     A left fold in order of ``ord``: of two candidates the deterministic one wins, then that of the better file role, then the more
     confident one, then the earlier; the winner takes the loser's service, confidence and status where it has none, never its handler, and
@@ -117,7 +129,7 @@ def merge_routes(candidates: DataFrame) -> DataFrame:
 
     # leaders push their evidence to the front, the latest first; the others append theirs
     place = F.struct(~F.col("_led"), F.when(F.col("_led"), -F.col("ord")).otherwise(F.col("ord")), "pos")
-    pieces = rows.select(*key, "ord", F.posexplode("evidence").alias("pos", "e")).join(led.select("ord", "_led", "_n"), "ord")
+    pieces = rows.select(*key, "ord", F.posexplode("evidence").alias("pos", "e")).join(led.select(*key, "ord", "_led", "_n"), [*key, "ord"])
     same = [F.col("e.file").alias("_f"), *[F.coalesce(F.col("e")[k], F.lit("")).alias(f"_{k}") for k in ("symbol", "label", "snippet")]]
     single = F.when(F.col("_n") == 1, F.col("pos")).alias("_single")  # a candidate that meets no other keeps its evidence as it is
     distinct = pieces.groupBy(*key, *same, single).agg(F.min(F.struct(place.alias("at"), "e")).alias("p"))
@@ -223,13 +235,21 @@ def link_calls(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
 
 
 def dedupe_calls(calls: DataFrame) -> DataFrame:
-    """One row per source, method, path and service: first text, greatest confidence."""
-    key = [
-        "source_repo", F.coalesce("source_file", F.lit("")).alias("source_file"), F.coalesce(routes.call_verb(F.col("method")), F.lit("")).alias("method"),
-        F.coalesce(routes.api_path(F.col("path")), F.lit("")).alias("path"), F.coalesce(routes.service(F.col("service")), F.lit("")).alias("service"),
-    ]
-    text = F.min_by("raw_text", F.when(F.coalesce(F.col("raw_text"), F.lit("")) != "", F.col("ord")))
-    return calls.groupBy(*key).agg(F.min("ord").alias("ord"), text.alias("raw_text"), F.max("confidence").alias("confidence"))
+    """One row per source, method, path and service: first text, greatest confidence, and, where ``calls`` has evidence, all of it in order, each piece once."""
+    key = ["source_repo", "source_file", "method", "path", "service"]
+    empty = lambda c: F.coalesce(c, F.lit(""))
+    rows = calls.select(
+        "source_repo", empty(F.col("source_file")).alias("source_file"), empty(routes.call_verb(F.col("method"))).alias("method"), empty(routes.api_path(F.col("path"))).alias("path"),
+        empty(routes.service(F.col("service"))).alias("service"), "ord", "raw_text", "confidence", *[c for c in ("evidence",) if c in calls.columns],
+    )
+    text = F.min_by("raw_text", F.when(empty(F.col("raw_text")) != "", F.col("ord")))
+    out = rows.groupBy(*key).agg(F.min("ord").alias("ord"), text.alias("raw_text"), F.max("confidence").alias("confidence"))
+    if "evidence" not in calls.columns:
+        return out
+    pieces = rows.select(*key, "ord", F.posexplode("evidence").alias("pos", "e")).groupBy(*key, "e").agg(F.min(F.struct("ord", "pos")).alias("at"))
+    gathered = pieces.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "e"))), lambda p: p["e"]).alias("evidence"))
+    match = [out[k].eqNullSafe(gathered[k]) for k in key]
+    return out.join(gathered, match, "left").select(*[out[c] for c in out.columns], F.coalesce(gathered["evidence"], F.array().cast(ev.EVIDENCE)).alias("evidence"))
 
 
 def merge_sinks(explicit: DataFrame, derived: DataFrame) -> DataFrame:

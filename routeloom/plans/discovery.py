@@ -49,7 +49,7 @@ def router_graph(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     targets = import_targets(of("import"))
     scoped = lambda c: F.concat_ws("|", "repo", c)
     declared = _resolve(of("route_call").withColumnRenamed("receiver", "symbol"), routers, defaults, targets).select(
-        F.xxhash64("repo", "file", "line", "pos").alias("decl_id"), "repo", "file", "line", F.col("name").alias("handler"), "snippet", "method", "path",
+        F.xxhash64("repo", "file", "line", "pos").alias("decl_id"), "repo", "file", "line", "pos", F.col("name").alias("handler"), "snippet", "method", "path",
         scoped(F.coalesce("container", F.concat_ws("::", "file", "symbol"))).alias("container"),
     )
     calls = of("mount_call")
@@ -64,17 +64,21 @@ def router_graph(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def discover(files: DataFrame) -> DataFrame:
     """Routes of repositories (repo, path, text): declared ones and those composed from mounts, merged, low-quality ones dropped."""
-    declared = tables.declared_routes(files).drop("framework", "line")
+    declared = tables.declared_routes(files).withColumn("_way", F.array().cast("array<bigint>")).drop("framework")
     declarations, mounts = map(cut, router_graph(cut(tables.route_facts(files))))
-    composed = graph.compose_routes(declarations, mounts).join(declarations.select("decl_id", "repo", "file", "handler", "snippet"), "decl_id")
+    composed = graph.compose_routes(declarations, mounts).join(declarations.select("decl_id", "repo", "file", "line", "pos", "handler", "snippet"), "decl_id")
     rows = composed.select(
-        (F.shiftrightunsigned("decl_id", 2) + F.lit(1 << 62)).alias("ord"), "method", F.col("full_path").alias("path"), "handler", "file", "repo", F.lit(None).cast("string").alias("service"),
+        "pos", "line", F.col("chain").alias("_way"), "method", F.col("full_path").alias("path"), "handler", "file", "repo", F.lit(None).cast("string").alias("service"),
         F.lit(0.9).alias("confidence"), F.lit("deterministic_composed").alias("status"),
         F.array(F.struct("file", F.col("handler").alias("symbol"), F.lit("route_declaration").alias("label"), "snippet")).alias("evidence"),
     )
     every = declared.unionByName(rows)
     cols = [F.col(c) for c in ("file", "repo", "method", "path", "handler", "confidence", "evidence")]
-    return relational.merge_routes(every.withColumn("_why", ev.reject_reason(*cols)).filter("_why IS NULL").drop("_why"))
+    good = every.withColumn("_why", ev.reject_reason(*cols)).filter("_why IS NULL").drop("_why")
+    # declared routes come before composed ones, each by file and place
+    stage = F.concat_ws(":", F.when(F.col("status") == "deterministic", "0").otherwise("1"), "file")
+    placed = relational.numbered(good.withColumn("_part", stage), ["repo"], "_part", [F.col("line"), F.col("pos"), F.col("path"), F.col("_way")])
+    return relational.merge_routes(placed.drop("line", "pos", "_way", "_part"))
 
 
 def resolve_handlers(endpoints: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from routeloom.functions import kinds, text
 from routeloom.functions.evidence import EVIDENCE
+from routeloom.operators import relational
 
 
 class Client(Protocol):
@@ -108,16 +109,17 @@ def discovery_prompt(files: Column) -> Column:
 def answered_endpoints(answers: DataFrame, known: DataFrame) -> DataFrame:
     """Endpoints in model answers, in the shape that merging takes. An object with ``endpoints`` or a plain list will do.
 
+    ``answers``: answer, and a column ``asked`` by which they are told apart and ordered. Endpoints come behind those that were found in files.
     A missing repo is that of the named file, if ``known`` (repo, path) has one; files that are not known are dropped.
     """
     one = f"struct<method:string,path:string,handler:string,file:string,repo:string,service:string,evidence:{EVIDENCE},confidence:double,status:string>"
     body = text.json_payload(F.col("answer")).cast("string")
     found = F.coalesce(F.from_json(body, f"struct<endpoints:array<{one}>>")["endpoints"], F.from_json(body, f"array<{one}>"))
-    rows = answers.select(F.posexplode(found).alias("pos", "e")).select("e.*", "pos")
+    rows = answers.select("asked", F.posexplode(found).alias("pos", "e")).select("asked", "e.*", "pos")
     where = known.groupBy(F.col("path").alias("file")).agg(F.min("repo").alias("_repo"))
-    return rows.join(where, "file").select(
-        (F.monotonically_increasing_id() + F.lit(1 << 60)).alias("ord"), *[F.nullif(F.trim(c), F.lit("")).alias(c) for c in ("method", "path", "handler")], "file", F.coalesce(F.nullif("repo", F.lit("")), "_repo").alias("repo"),
-        "service", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "confidence")).alias("confidence"), "status", F.coalesce("evidence", F.array().cast(EVIDENCE)).alias("evidence"),
+    named = rows.join(where, "file").withColumn("repo", F.coalesce(F.nullif("repo", F.lit("")), "_repo"))
+    return relational.numbered(named, ["repo"], "asked", [F.col("pos")]).select(
+        (F.col("ord") + F.lit(1 << 40)).alias("ord"), *[F.nullif(F.trim(c), F.lit("")).alias(c) for c in ("method", "path", "handler")], "file", "repo", "service", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "confidence")).alias("confidence"), "status", F.coalesce("evidence", F.array().cast(EVIDENCE)).alias("evidence"),
     )
 
 

@@ -76,7 +76,7 @@ def trace(files: DataFrame, path: str, method: str | None = None) -> Trace:
     What several relations are made of is cut from its lineage, so that no file is parsed more than once for each kind of fact.
     """
     routes = cut(discovery.discover(files))
-    endpoint = relational.match_target(routes.withColumn("ord", F.monotonically_increasing_id()), path, method)
+    endpoint = relational.match_target(routes.withColumn("ord", F.struct("repo", "method", "path", "file", "handler")), path, method)
     selected = cut(endpoint.filter("rank = 1").withColumn("flow_id", F.lit(1).cast("long")))
     facts, declared = cut(tables.route_facts(files)), cut(tables.js_symbols(files))
     steps = cut(python_steps(selected, files).unionByName(script_steps(selected, files, facts, declared)))

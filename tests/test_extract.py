@@ -104,6 +104,15 @@ def test_repository_source_and_discovery(spark, tmp_path):
     assert got == {"save": ("resolved", "src/ctl.js", 1), "none": ("unresolved", None, None)}
 
 
+def test_discovery_does_not_depend_on_partitions(spark):
+    rows = [("r", f"src/a{i}.py", f"@app.get('/x/{i % 7}')\ndef h{i}():\n    pass\n@bp.get('/y')\ndef g{i}():\n    pass\n") for i in range(40)]
+    rows += [("r", f"src/b{i}.js", f"const b{i} = Router()\nb{i}.get('/y', h{i})\napp.use('/m', b{i})\nexport default b{i}\n") for i in range(9)]
+    files = spark.createDataFrame(rows, "repo string, path string, text string")
+    one, many = ([r for r in discovery.discover(files.repartition(n)).orderBy("method", "path").collect()] for n in (1, 50))
+    assert one == many and len(one) == 9
+    assert [r["handler"] for r in one if r["path"] == "/y"] == ["g0"]
+
+
 def test_outbound_table(spark):
     files = spark.createDataFrame([("r", "a.py", "def f():\n    self.billing_client.post('/pay/')\n"), ("r", "b.py", None)], "repo string, path string, text string")
     got = [(r["method"], r["target_path"], r["service"], round(r["confidence"], 2), r["symbol"]) for r in tables.outbound_calls(files).collect()]

@@ -20,7 +20,7 @@ def test_answers_become_endpoints(spark):
     asked = ms.ask(rows, F.col("p"), Stub)
     got = {r["id"]: (r["answer"] is None, r["error"]) for r in asked.collect()}
     assert got == {1: (False, None), 2: (True, "network/connectivity failure: request timed out")}
-    found = ms.answered_endpoints(asked, spark.createDataFrame([("shop", "a.py")], "repo string, path string")).collect()
+    found = ms.answered_endpoints(asked.withColumn("asked", F.col("id")), spark.createDataFrame([("shop", "a.py")], "repo string, path string")).collect()
     assert [(r["method"], r["path"], r["repo"], r["confidence"], r["evidence"][0]["label"]) for r in found] == [("GET", "/a", "shop", 1.0, "x")]
     assert ms.ask(rows, F.col("p"), None).filter("answer IS NOT NULL").count() == 0
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from routeloom.extract import calls, python_flow, routes, symbols
+from routeloom.extract import calls, python_contracts, python_flow, routes, scan, symbols
 from routeloom.functions import kinds
 from routeloom.functions.routes import api_path, call_verb, client_service, url_service
 from routeloom.operators.scores import call_confidence
@@ -75,14 +76,56 @@ def outbound_calls(files: DataFrame) -> DataFrame:
     return found.select("repo", "path", "pos", "line", "symbol", "form", "raw", method.alias("method"), path.alias("target_path"), service.alias("service"), confidence.alias("confidence"))
 
 
+def _of_handlers(handlers: DataFrame, parse: Callable[..., list[dict]], schema: str) -> DataFrame:
+    """Rows that ``parse(text, handler, method)`` makes of each handler (repo, file, handler, method, text)."""
+    packed = handlers.withColumn("_in", F.to_json(F.struct("handler", "method", "text")))
+
+    def read(value: str) -> list[dict]:
+        x = json.loads(value)
+        return parse(x.get("text") or "", x.get("handler") or "", x.get("method"))
+
+    return per_file(packed, read, schema, ("repo", "file", "handler"), "_in")
+
+
 def handler_steps(handlers: DataFrame) -> DataFrame:
     """Steps of Python handlers: ``handlers`` (repo, file, handler, method, text), a row for each."""
-    packed = handlers.withColumn("_in", F.to_json(F.struct("handler", "method", "text")))
+    return _of_handlers(handlers, python_flow.handler_steps, "line long, seq long, kind string, name string")
+
+
+def request_fields(handlers: DataFrame) -> DataFrame:
+    """Fields that Python handlers read of their requests."""
+    return _of_handlers(handlers, lambda t, h, _: python_contracts.request_fields(t, h), "place string, name string, type string, required boolean, line long")
+
 
-    def parse(value: str) -> list[dict]:
-        import json
+def responses(handlers: DataFrame) -> DataFrame:
+    """Statuses that Python handlers answer with, and the types of their bodies."""
+    return _of_handlers(handlers, python_contracts.responses, "status string, shape string, line long")
 
+
+def model_fields(files: DataFrame) -> DataFrame:
+    """Fields of model classes in Python files."""
+    return per_file(files.filter(F.col("path").endswith(".py")), python_contracts.model_fields, "model string, field string, type string, line long")
+
+
+def test_payloads(files: DataFrame) -> DataFrame:
+    """Bodies that the tests among files send."""
+    tests = files.filter(kinds.basename(F.col("path")).rlike(r"^test.*\.py$"))
+    return per_file(
+        tests, lambda t: [{**r, "route": r["path"]} for r in python_contracts.payloads(t)], "method string, route string, field string, type string, line long"
+    )
+
+
+def body_statements(functions: DataFrame) -> DataFrame:
+    """Statements of functions (repo, path, name, start_line, end_line, text): ``repo, path, name, pos, first, last, statement``."""
+    packed = functions.withColumn("_in", F.to_json(F.struct("start_line", "end_line", "text")))
+
+    def read(value: str) -> list[dict]:
         x = json.loads(value)
-        return python_flow.handler_steps(x.get("text") or "", x.get("handler") or "", x.get("method"))
+        return [{"first": a, "last": b, "statement": t} for a, b, t in symbols.body_statements(x.get("text") or "", x["start_line"], x.get("end_line"))]
+
+    return per_file(packed, read, "first long, last long, statement string", ("repo", "path", "name"), "_in")
+
 
-    return per_file(packed, parse, "line long, seq long, kind string, name string", ("repo", "file", "handler"), "_in")
+def called_names(statements: DataFrame) -> DataFrame:
+    """``repo, path, pos, call, followable``: names that statements (repo, path, text) call."""
+    return per_file(statements, lambda t: [{"call": n, "followable": scan.is_followable(n)} for n in scan.called_names(t)], "call string, followable boolean")

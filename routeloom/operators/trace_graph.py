@@ -203,10 +203,10 @@ def enrich(nodes: DataFrame, edges: DataFrame, calls: DataFrame) -> tuple[DataFr
     )
     by_source = gather(told.filter("source IS NOT NULL"), "trace_id", "source")
     external = edges.filter("type = 'CALLS_EXTERNAL'").select("trace_id", "source", "target").distinct()
-    steps = gather(told.filter("source_type = 'internal_step'"), "trace_id", "source").withColumnRenamed("source", "node_id").withColumn("_role", F.lit("step"))
-    sinks = gather(told.join(external, ["trace_id", "source"]), "trace_id", "target").withColumnRenamed("target", "node_id").withColumn("_role", F.lit("sink"))
-    both = nodes.join(steps.unionByName(sinks), ["trace_id", "node_id"], "left")
-    role = F.when((F.col("_role") == "sink") & (F.col("type") == "external_api"), "sink").when((F.col("_role") == "step") & (F.col("type") == "internal_step"), "step")
+    steps = gather(told.filter("source_type = 'internal_step'"), "trace_id", "source").withColumnRenamed("source", "node_id").withColumns({"_role": F.lit("step"), "type": F.lit("internal_step")})
+    sinks = gather(told.join(external, ["trace_id", "source"]), "trace_id", "target").withColumnRenamed("target", "node_id").withColumns({"_role": F.lit("sink"), "type": F.lit("external_api")})
+    both = nodes.join(steps.unionByName(sinks), ["trace_id", "node_id", "type"], "left")
+    role = F.col("_role")
     have = F.map_filter(F.coalesce("metadata", F.create_map().cast("map<string,string>")), lambda k, v: F.coalesce(v, F.lit("")) != "")
     have = F.when(role == "step", F.map_filter(have, lambda k, v: ~((k == "step_kind") & (v == "unknown")))).otherwise(have)
     offers = [("step_kind", F.when(role == "step", "external_api_call")), ("sink_kind", F.when(role == "sink", "external_api")), ("action", F.when(role == "sink", "read"))]

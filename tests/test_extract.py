@@ -190,3 +190,13 @@ def test_trace(spark):
     t = trace(files, "/things/{id}", "PUT")
     assert [r["kind"] for r in t.steps.orderBy("ord").collect()] == ["request_input", "database_write", "response"]
     assert t.summary.first()["sinks"] == 1
+    files = spark.createDataFrame([
+        ("shop", "src/r.js", "import { load } from './svc'\napp.get('/deep/:id', show)\nexport function show(req, res) {\n  const b = await load(req.params.id);\n  helper(b);\n  return res.json(b);\n}\nfunction helper(x) {\n  log(x);\n  return x\n}\n"),
+        ("shop", "src/svc.js", "export function load(id) {\n  return db.query('SELECT a FROM t')\n}\n"),
+    ], "repo string, path string, text string")
+    t = trace(files, "/deep/{id}", "GET")
+    assert {(r["call"], r["outcome"], r["target_file"]) for r in t.followed.collect()} == {("load", "followed", "src/svc.js"), ("helper", "followed", "src/r.js")}
+    assert sorted((r["depth"], r["kind"]) for r in t.layers.collect()) == [
+        (0, "endpoint"), (1, "handler"), (1, "request_params"), (1, "response"), (1, "transform"), (2, "database_read"), (2, "response"), (2, "service_call"), (2, "service_call"), (2, "transform"),
+    ]
+    assert t.layer_edges.count() == 9 and t.summary.first()["followed"] == 2

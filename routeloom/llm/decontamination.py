@@ -169,3 +169,16 @@ def query(spark, sf_dir):
 def stage(spark, docs, sf_dir):
     """The documents that contain no benchmark item."""
     return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+#: All shingles of all items in all documents, counted.
+SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '{ALNUM_WORD.pattern}') AS w FROM documents),
+b AS (SELECT row_number() OVER () AS i, item_id, regexp_extract_all(lower(coalesce(text, '')), '{ALNUM_WORD.pattern}') AS w FROM benchmark),
+wanted AS (SELECT DISTINCT i, item_id, k, array_to_string(list_slice(w, p, p + k - 1), ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS p FROM (SELECT *, least({WORDS}, len(w)) AS k FROM b WHERE len(w) > 0))),
+sizes AS (SELECT i, count(*) AS n FROM wanted GROUP BY i),
+ks AS (SELECT DISTINCT k FROM wanted),
+own AS (SELECT DISTINCT r, k, array_to_string(list_slice(w, p, p + k - 1), ' ') AS s FROM (SELECT r, k, w, unnest(range(1, len(w) - k + 2)) AS p FROM d, ks WHERE len(w) >= k)),
+hit AS (SELECT r, i, item_id, count(*) AS shared FROM own JOIN wanted USING (k, s) GROUP BY ALL)
+SELECT doc_id, item_id, shared::BIGINT AS shared, n::BIGINT AS item_shingles, shared / n::DOUBLE AS containment
+FROM hit JOIN sizes USING (i) JOIN d USING (r) WHERE shared >= greatest(1, ceil({THRESHOLD} * n - 1e-9))"""

@@ -397,3 +397,20 @@ def query(spark, sf_dir):
 def stage(spark, docs, sf_dir):
     """One document of each class."""
     return drop_similar(docs)
+
+
+#: Exact similarities of all texts that share a shingle, and classes by reachability.
+SQL = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+t AS (SELECT text, row_number() OVER (ORDER BY text) AS i, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w, count(*) AS copies FROM d GROUP BY text),
+own AS (SELECT DISTINCT i, hash(array_to_string(list_slice(w, p, p + {WORDS - 1}), ' ')) AS s FROM (SELECT i, w, unnest(range(1, greatest(2, len(w) - {WORDS - 2}))) AS p FROM t WHERE len(w) > 0)),
+sizes AS (SELECT i, count(*) AS n FROM own GROUP BY i),
+pair AS (SELECT a.i AS a, b.i AS b, count(*) AS shared FROM own a JOIN own b ON a.s = b.s AND a.i < b.i GROUP BY ALL),
+link AS (SELECT a, b FROM pair JOIN sizes x ON x.i = a JOIN sizes y ON y.i = b WHERE shared >= {THRESHOLD} * (x.n + y.n - shared) - 1e-9),
+both_ways AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT i AS a, i AS b FROM sizes UNION SELECT reach.a, e.b FROM reach JOIN both_ways e ON reach.b = e.a),
+root AS (SELECT a AS i, min(b) AS root FROM reach GROUP BY a),
+degree AS (SELECT a AS i, sum(copies) AS linked FROM both_ways JOIN t ON t.i = b GROUP BY a),
+least_id AS (SELECT root, min(doc_id) AS class_id FROM root JOIN t USING (i) JOIN d USING (text) GROUP BY root)
+SELECT doc_id, CASE WHEN len(w) > 0 THEN class_id ELSE doc_id END AS class_id, CASE WHEN len(w) > 0 THEN copies - 1 + coalesce(linked, 0) ELSE 0 END::BIGINT AS n_links
+FROM d JOIN t USING (text) LEFT JOIN root USING (i) LEFT JOIN least_id USING (root) LEFT JOIN degree USING (i)"""

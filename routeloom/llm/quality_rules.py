@@ -128,3 +128,21 @@ def apply_rules(docs: DataFrame, bands: Bands = BANDS, *, id_col: str = "doc_id"
 def query(spark, sf_dir):
     """Verdict on every document."""
     return apply_rules(documents(spark, sf_dir))
+
+
+def base_counts_query(spark, sf_dir):
+    """Base counts and the base verdict of every document."""
+    return apply_rules(documents(spark, sf_dir)).drop("kept")
+
+
+#: The same from the words and lines themselves; compression has no SQL.
+BASE_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x FROM documents),
+w AS (SELECT r, doc_id, x, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS words FROM t),
+win AS (SELECT r, i, list_slice(words, i, i + 4) AS s FROM (SELECT r, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) >= 5)),
+twice AS (SELECT r, i FROM win QUALIFY count(*) OVER (PARTITION BY r, s) > 1),
+again AS (SELECT r, count(DISTINCT i + j) AS n FROM twice, range(5) AS g(j) GROUP BY r),
+lines AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM (SELECT r, unnest(string_split(x, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda s: length(s))), 0)::BIGINT AS word_chars, len(regexp_extract_all(x, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+  coalesce(lines.n, 0)::BIGINT AS n_dup_lines, coalesce(again.n, 0)::BIGINT AS n_repeat_words, len(words) < 10 OR 100 * coalesce(again.n, 0) > 20 * len(words) AS base_failed
+FROM w LEFT JOIN lines USING (r) LEFT JOIN again USING (r)"""

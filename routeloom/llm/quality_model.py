@@ -1,6 +1,6 @@
 """Quality classifier: Bradley-Terry ranking of documents by features of their text.
 
-A document's score is linear in its features. It is learned from preference pairs (a document labelled 1 before one
+A document's score is linear in its features: counts of its surface, and shares of its words and their endings by hash, in any script. It is learned from preference pairs (a document labelled 1 before one
 labelled 0) by logistic loss on the difference of their features, and cut at a quantile of the labelled documents' scores.
 """
 
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from routeloom.llm.common import WORD, documents, small_arrow_batches
 from routeloom.llm.quality_rules import repeat_words
+from routeloom.llm.shingles import SPACE, word_hashes
 
 #: Labelled rows that the model is fitted on, at most: those of lowest hash.
 MAX_LABELLED = 20_000
@@ -40,10 +41,17 @@ _CLASSES = {
     "bracket": b"()[]{}\"'",
     "other": b"@+-=/\\^_`~",
 }
+#: Lead bytes of characters beyond ASCII, by length: they tell scripts apart.
+_CLASSES |= {"two": bytes(range(0xC2, 0xE0)), "three": bytes(range(0xE0, 0xF0)), "four": bytes(range(0xF0, 0xF5))}
 _TABLE = np.zeros((256, len(_CLASSES)))
 for _i, _chars in enumerate(_CLASSES.values()):
     _TABLE[list(_chars), _i] = 1
-FEATURES = 2 * len(_CLASSES) + 11
+#: Buckets that words fall into by hash.
+LEXICON = 96
+SURFACE = 2 * len(_CLASSES) + 11
+FEATURES = SURFACE + LEXICON
+#: Pairs that are held as rows of differences at once.
+_BLOCK = 16_384
 
 
 def features(text: str, packer: zstandard.ZstdCompressor) -> np.ndarray:
@@ -63,7 +71,10 @@ def features(text: str, packer: zstandard.ZstdCompressor) -> np.ndarray:
     repeated = repeat_words(words) / n
     dup_lines = 1 - len(set(lines)) / max(1, len(lines))
     ratio = len(packer.compress(data)) / len(data)
-    out[2 * k :] = (
+    low = np.frombuffer(text.lower().encode(), np.uint8)
+    hashes, _ = word_hashes(low, np.array([0, len(low)]), SPACE)
+    out[SURFACE:] = np.sqrt(np.bincount((hashes >> np.uint64(40)) % np.uint64(LEXICON), minlength=LEXICON) / max(1, len(hashes)))
+    out[2 * k : SURFACE] = (
         np.log1p(n),
         len(data) / n / 10,
         distinct,
@@ -108,11 +119,13 @@ def fit(x: np.ndarray, y: np.ndarray, *, max_pairs: int = MAX_PAIRS, penalty: fl
     pairs = min(max_pairs, len(good) * len(bad))
     first = rng.choice(good, pairs)
     second = np.resize(rng.permutation(bad), pairs)
-    d = z[first] - z[second]
-    for _ in range(steps):  # Newton's method
-        p = 1 / (1 + np.exp(-(d @ w)))
-        gradient = d.T @ (1 - p) / pairs - penalty * w
-        hessian = (d * (p * (1 - p))[:, None]).T @ d / pairs + penalty * np.eye(FEATURES)
+    for _ in range(steps):  # Newton's method, over blocks of pairs
+        gradient, hessian = -penalty * w, penalty * np.eye(FEATURES)
+        for at in range(0, pairs, _BLOCK):
+            d = z[first[at : at + _BLOCK]] - z[second[at : at + _BLOCK]]
+            p = 1 / (1 + np.exp(-(d @ w)))
+            gradient = gradient + d.T @ (1 - p) / pairs
+            hessian = hessian + (d * (p * (1 - p))[:, None]).T @ d / pairs
         step = np.linalg.solve(hessian, gradient)
         w = w + step
         if np.abs(step).max() < 1e-6:
@@ -130,7 +143,7 @@ def fit(x: np.ndarray, y: np.ndarray, *, max_pairs: int = MAX_PAIRS, penalty: fl
 
 def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLED) -> Model:
     """Fit on ``labels`` (doc_id, quality), at most ``max_labelled`` of them. Labels that are null or that
-    contradict each other for one document are left out."""
+    contradict each other for one document are left out; a document that is repeated counts once, by the text that comes first."""
     clear = (
         labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)")
         .groupBy("doc_id")
@@ -141,6 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLE
         .select(F.col("doc_id").alias("_rl_id"), "_rl_y")
     )
     chosen = docs.select("doc_id", "text").join(F.broadcast(clear), F.col("doc_id") == F.col("_rl_id"))
+    chosen = chosen.groupBy("doc_id", "_rl_y").agg(F.min("text").alias("text"))  # at most max_labelled rows, however often a document is there
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=1)
@@ -151,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLE
     kinds = dict(docs.dtypes)
     got = chosen.select("text", F.col("_rl_y").cast("int"), "doc_id").mapInArrow(extract, f"x binary, y int, doc_id {kinds['doc_id']}").toPandas()
     got["x"] = got["x"].map(bytes)
-    got = got.sort_values(["doc_id", "x"])  # the same order, so the same model, on every run
+    got = got.sort_values(["doc_id", "x"]).drop_duplicates("doc_id")  # the same order, so the same model, on every run
     x = np.frombuffer(b"".join(got["x"]), float).reshape(-1, FEATURES)
     return fit(x, got["y"].to_numpy())
 

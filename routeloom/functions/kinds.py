@@ -276,6 +276,38 @@ def property_type(name: Column) -> Column:
     )
 
 
+# An example of each type of a schema, and a value that is not of it, as JSON.
+SCHEMA_EXAMPLES = {"integer": ("1", '"not-a-number"'), "number": ("1.25", '"not-a-number"'), "boolean": ("true", '"not-a-bool"'), "array": ("[]", '"not-an-array"'), "object": ("{}", '"not-an-object"')}
+
+
+def example_value(kind: Column) -> Column:
+    """A value of a schema type, as JSON; of an unknown type, that of a string."""
+    low = F.lower(F.coalesce(kind, F.lit("string")))
+    return chain([(low == k, v) for k, (v, _) in SCHEMA_EXAMPLES.items()], '"example"')
+
+
+def invalid_value(kind: Column) -> Column:
+    """A value that is not of a schema type, as JSON."""
+    low = F.lower(F.coalesce(kind, F.lit("string")))
+    return chain([(low == k, v) for k, (_, v) in SCHEMA_EXAMPLES.items()], "12345")
+
+
+def sink_name(kind: Column, detail: Column) -> Column:
+    """How a sink is shown: the verb and table of a statement, the call of a storage or a service, else its detail."""
+    said = strip(F.coalesce(detail, F.lit("")))
+    low = F.lower(said)
+    table = lambda before: F.regexp_extract(low, before + r"\s+([a-z_]\w*)", 1)
+    statements = (("INSERT", "insert into", r"insert\s+into"), ("UPDATE", "update ", "update"), ("DELETE", "delete from", r"delete\s+from"), ("SELECT", "select ", "from"))
+    shown = [(low.contains(mark), F.concat_ws(" ", F.lit(verb), F.coalesce(F.nullif(table(before), F.lit("")), F.lit("query")))) for verb, mark, before in statements]
+    first = lambda p, other: F.coalesce(F.nullif(F.regexp_extract(said, p, 1), F.lit("")), F.lit(other))
+    rest = F.coalesce(F.nullif(F.when(F.length(said) > 120, F.concat(F.substring(said, 1, 117), F.lit("..."))).otherwise(said), F.lit("")), kind)
+    return chain([
+        (kind == "database", chain([*shown, (low.contains("db.query"), "db.query(q)")], rest)),
+        (kind == "storage", first("(?i)(uploadBase64|uploadBuffer|uploadFile|downloadFile|putObject)", "storage call")),
+        (kind == "external_api", first(r"([A-Za-z_]\w*)\s*\(", "external call")),
+    ], rest)
+
+
 def default_status(method: Column) -> Column:
     m = F.upper(F.coalesce(method, F.lit("")))
     return F.when(m == "POST", "201").when(m == "DELETE", "204").otherwise("200")

@@ -43,17 +43,17 @@ def parse_model_spec(spec: str, default: str = "ollama") -> tuple[str, str]:
 
 @dataclass
 class HttpClient:
-    """Posts JSON to a completion endpoint. ``answer``: the keys that lead to the text."""
+    """Posts JSON to a completion endpoint. ``answer``: the keys that lead to the text; without ``prompt_key`` the body holds the prompt."""
 
     url: str
     body: dict
-    prompt_key: str = "prompt"
+    prompt_key: str | None = "prompt"
     answer: tuple = ("response",)
     timeout: float = 90.0
     headers: dict | None = None
 
     def generate(self, prompt: str) -> str:
-        data = json.dumps(self.body | {self.prompt_key: prompt}).encode()
+        data = json.dumps(self.body | ({self.prompt_key: prompt} if self.prompt_key else {})).encode()
         call = request.Request(self.url, data, {"Content-Type": "application/json"} | (self.headers or {}))
         try:
             with request.urlopen(call, timeout=self.timeout if self.timeout > 0 else 90.0) as reply:
@@ -72,6 +72,87 @@ class HttpClient:
         return found
 
 
+@dataclass(frozen=True)
+class Provider:
+    """Where a provider listens, and what a request to it looks like. ``key``: the header that carries the key, with ``{key}`` in its value."""
+
+    url: str
+    path: str
+    body: dict
+    answer: tuple
+    key: tuple | None = None
+    headers: dict | None = None
+    chat: bool = True
+
+
+# Request and answer shapes of the providers.
+PROVIDERS = {
+    "ollama": Provider("http://localhost:11434", "/api/generate", {"stream": False, "keep_alive": "5m"}, ("response",), chat=False),
+    "openai": Provider("https://api.openai.com/v1", "/chat/completions", {}, ("choices", 0, "message", "content"), ("Authorization", "Bearer {key}")),
+    "anthropic": Provider("https://api.anthropic.com", "/v1/messages", {"max_tokens": 4096}, ("content", 0, "text"), ("x-api-key", "{key}"), {"anthropic-version": "2023-06-01"}),
+}
+
+
+@dataclass
+class ProviderClient:
+    """A client of one of :data:`PROVIDERS`."""
+
+    provider: str
+    model: str
+    key: str | None = None
+    url: str | None = None
+    timeout: float = 90.0
+    temperature: float = 0.0
+    system: str | None = None
+
+    def request(self, prompt: str) -> tuple[str, dict, dict]:
+        """URL, headers and body of the request for a prompt."""
+        p = PROVIDERS.get(self.provider)
+        if p is None:
+            raise ClientError(f"unknown provider {self.provider}")
+        if p.key and not self.key:
+            raise ClientError(f"{self.provider}: api key is not configured")
+        body = {"model": self.model, **p.body}
+        if p.chat:
+            own = {"role": "user", "content": prompt}
+            inline = self.provider == "openai" and self.system
+            body |= {"messages": [{"role": "system", "content": self.system}, own] if inline else [own], "temperature": self.temperature}
+            body |= {"system": self.system} if self.system and not inline else {}
+        else:
+            body |= {"prompt": prompt, "options": {"temperature": self.temperature}, **({"system": self.system} if self.system else {})}
+        headers = {**(p.headers or {}), **({p.key[0]: p.key[1].format(key=self.key)} if p.key else {})}
+        return (self.url or p.url).rstrip("/") + p.path, headers, body
+
+    def generate(self, prompt: str) -> str:
+        url, headers, body = self.request(prompt)
+        return HttpClient(url, body, None, PROVIDERS[self.provider].answer, self.timeout, headers).generate(prompt)
+
+
+def client_from_settings(spec: str, settings: dict[str, str]) -> ProviderClient:
+    """A client for ``provider:model``; ``settings``: ``<provider>_key``, ``<provider>_url``, ``timeout`` (positive, else 90) and ``temperature`` (0 to 1)."""
+    provider, model = parse_model_spec(spec)
+    timeout = float(settings.get("timeout", 90))
+    heat = min(1.0, max(0.0, float(settings.get("temperature", 0))))
+    return ProviderClient(provider, model, settings.get(f"{provider}_key"), settings.get(f"{provider}_url"), timeout if timeout > 0 else 90.0, heat)
+
+
+def preflight(client, models: Callable[[], list[str]] | None = None) -> tuple[bool, str | None]:
+    """Whether a client can be asked, and why not. ``models`` lists what its server has; where it cannot, a small prompt is tried."""
+    try:
+        if models is not None:
+            known = models()
+            if client.model in known:
+                return True, None
+            return False, f"model not available: {client.model}; available: {', '.join(known[:8]) or 'none'}"
+    except (ClientError, OSError, ValueError):
+        pass
+    try:
+        client.generate('Return JSON: {"ok":true}')
+    except ClientError as e:
+        return False, str(e)
+    return True, None
+
+
 def ask(rows: DataFrame, prompt: Column, make_client: Callable[[], Client] | None) -> DataFrame:
     """``rows`` with ``answer`` and ``error``; without a client, nothing is asked and both are null."""
     if make_client is None:

@@ -5,10 +5,11 @@ from __future__ import annotations
 import uuid
 from datetime import UTC, datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routeloom.operators.relational import upsert
+from routeloom.operators.relational import first_per_key
 
 INDEX = "workspace_id string, run_id string, artifact_name string, relative_path string, saved_at string"
 
@@ -18,28 +19,40 @@ def new_run_id(now: datetime | None = None) -> str:
 
 
 def read_index(spark: SparkSession, root: str) -> DataFrame:
-    """The index; without one, or if its rows are malformed, what can be read."""
+    """The index: the latest entry for each artifact of a run. Entries are only ever added, so none is lost to a failure or to another writer;
+    without any, or if some are malformed, what can be read."""
     try:
-        return spark.read.schema(INDEX).option("mode", "DROPMALFORMED").json(f"{root}/index/*.json").filter("run_id IS NOT NULL").dropDuplicates(["workspace_id", "run_id", "artifact_name"])
-    except Exception as e:  # the folder does not exist yet
-        if "PATH_NOT_FOUND" not in str(e):
+        rows = spark.read.schema(INDEX).option("mode", "DROPMALFORMED").json(f"{root}/index").filter("run_id IS NOT NULL")
+    except AnalysisException as e:  # the folder does not exist yet
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], INDEX)
+    return first_per_key(rows, ["workspace_id", "run_id", "artifact_name"], -F.unix_micros(F.to_timestamp("saved_at")))
 
 
 def save_artifact(df: DataFrame, root: str, workspace_id: str, run_id: str, name: str) -> str:
-    """Write ``df`` as JSON lines below ``root`` and put it in the index, in place of an entry of the same name. Null fields are left out."""
-    spark = df.sparkSession
+    """Write ``df`` as JSON lines below ``root`` and add it to the index, in place of an entry of the same name. Null fields are left out."""
     relative = f"artifacts/{workspace_id}/{run_id}/{name}"
     df.write.mode("overwrite").json(f"{root}/{relative}")
-    row = spark.createDataFrame([(workspace_id, run_id, name, relative, datetime.now(UTC).isoformat())], INDEX)
-    rows = upsert(read_index(spark, root), row, ["workspace_id", "run_id", "artifact_name"]).coalesce(1)
-    fresh = f"{root}/index-{uuid.uuid4().hex}"
-    rows.write.json(fresh)  # read from there, as a table cannot be overwritten while it is read
-    spark.read.schema(INDEX).json(fresh).coalesce(1).write.mode("overwrite").json(f"{root}/index")
+    row = (workspace_id, run_id, name, relative, datetime.now(UTC).isoformat())
+    df.sparkSession.createDataFrame([row], INDEX).coalesce(1).write.mode("append").json(f"{root}/index")
     return relative
 
 
+def artifacts_of(spark: SparkSession, root: str, workspace_id: str, run_id: str) -> DataFrame:
+    """``artifact_name, relative_path, saved_at`` of a run's artifacts, by name."""
+    own = read_index(spark, root).filter((F.col("workspace_id") == workspace_id) & (F.col("run_id") == run_id))
+    return own.select("artifact_name", "relative_path", "saved_at").orderBy("artifact_name")
+
+
+def read_artifact(spark: SparkSession, root: str, workspace_id: str, run_id: str, name: str) -> DataFrame:
+    """The rows of an artifact, as they were saved."""
+    hit = read_index(spark, root).filter((F.col("workspace_id") == workspace_id) & (F.col("run_id") == run_id) & (F.col("artifact_name") == name)).first()
+    if hit is None:
+        raise ValueError(f"run {run_id} has no artifact {name}")
+    return spark.read.json(f"{root}/{hit['relative_path']}")
+
+
 def runs(spark: SparkSession, root: str, workspace_id: str) -> DataFrame:
     """Runs of a workspace, the latest first."""
     own = read_index(spark, root).filter(F.col("workspace_id") == workspace_id)
@@ -51,6 +64,17 @@ def postman_path(c: Column) -> Column:
     return F.regexp_replace(F.when(p.startswith("/"), p).otherwise(F.concat(F.lit("/"), p)), "/{2,}", "/")
 
 
+def scenario_requests(scenarios: DataFrame) -> DataFrame:
+    """``scenarios`` (request_method, request_path, method, route, route_method, route_path, headers, category, contract_refs) with the ``method`` and ``path`` that they
+    ask for, and ``needs_auth``: the request's own, else the scenario's, else the route's."""
+    said = lambda *cols: F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in cols])
+    auth = F.coalesce(F.map_contains_key("headers", F.lit("Authorization")), F.lit(False)) | F.lower(F.coalesce("category", F.lit(""))).isin("auth", "authorization")
+    refs = F.coalesce(F.array_contains("contract_refs", "request.headers.Authorization"), F.lit(False))
+    return scenarios.withColumns({
+        "method": F.upper(F.coalesce(said("request_method", "method", "route_method"), F.lit("GET"))), "path": postman_path(said("request_path", "route", "route_path")), "needs_auth": auth | refs,
+    })
+
+
 def postman_items(scenarios: DataFrame) -> DataFrame:
     """Collection items of ``scenarios`` (name, method, path, query map, headers map, body, needs_auth, summary, ord)."""
     path, query = postman_path(F.col("path")), F.map_entries(F.coalesce("query", F.create_map().cast("map<string,string>")))

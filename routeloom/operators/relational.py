@@ -180,30 +180,44 @@ def match_target(endpoints: DataFrame, path: str, method: str | None = None) ->
     ).drop("_hit", "_any")
 
 
-def lookup_endpoints(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
-    """Each call with the endpoints it may reach, by tiers; a call without any keeps one row of nulls.
-
-    ``calls``: call_id, method, path, service, confidence. ``endpoints``: ord, repo, file, method, path, service, confidence.
-    Method and path together count first, path alone second; a service narrows its tier only if some row of it has that service.
-    One join on the path decides all tiers.
-    """
-    c = calls.select(
+def _call_forms(calls: DataFrame) -> DataFrame:
+    return calls.select(
         "call_id", F.col("confidence").alias("call_confidence"),
         routes.call_verb(F.col("method")).alias("call_method"), routes.api_path(F.col("path")).alias("call_path"), routes.service(F.col("service")).alias("call_service"),
     )
-    e = endpoints.select(
+
+
+def _endpoint_forms(endpoints: DataFrame) -> DataFrame:
+    return endpoints.select(
         F.col("ord").alias("target_ord"), "repo", "file", F.col("confidence").alias("endpoint_confidence"),
         routes.call_verb(F.col("method")).alias("_method"), routes.api_path(F.col("path")).alias("_path"), routes.service(F.col("service")).alias("_service"),
         routes.lookup_id(F.col("repo"), F.col("file"), F.col("method"), F.col("path")).alias("target_id"),
     )
+
+
+def _in_tier(hits: DataFrame) -> DataFrame:
+    """The hits of each call's best tier: method and path before path alone; a service narrows it if some hit has that service."""
     call = Window.partitionBy("call_id")
-    hits = c.join(e, F.col("call_path") == F.col("_path"), "left").withColumn("_exact", F.coalesce(F.col("call_method") == F.col("_method"), F.lit(False)))
+    hits = hits.withColumn("_exact", F.coalesce(F.col("call_method") == F.col("_method"), F.lit(False)))
     hits = hits.withColumn("_any", F.max("_exact").over(call)).filter("_exact OR NOT _any")
     hits = hits.withColumn("_served", F.coalesce(F.col("call_service") == F.col("_service"), F.lit(False)))
-    hits = hits.withColumn("_narrow", F.max("_served").over(call)).filter("_served OR NOT _narrow")
-    return hits.withColumn(
-        "link_type", F.when(F.col("target_id").isNull(), F.lit(None)).when(F.col("_any"), "exact_method_path").otherwise("path_only")
-    )
+    return hits.withColumn("_narrow", F.max("_served").over(call)).filter("_served OR NOT _narrow")
+
+
+def _link_type(found: Column) -> Column:
+    return F.when(~found, F.lit(None)).when(F.col("_any"), "exact_method_path").otherwise("path_only")
+
+
+def lookup_endpoints(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
+    """Each call with the endpoints it may reach, by tiers; a call without any keeps one row of nulls.
+
+    ``calls``: call_id, method, path, service, confidence. ``endpoints``: ord, repo, file, method, path, service, confidence.
+    Method and path together count first, path alone second; a service narrows its tier only if some row of it has that service.
+    One join on the path decides all tiers.
+    """
+    c, e = _call_forms(calls), _endpoint_forms(endpoints)
+    hits = _in_tier(c.join(e, F.col("call_path") == F.col("_path"), "left"))
+    return hits.withColumn("link_type", _link_type(F.col("target_id").isNotNull()))
 
 
 def link_confidence(call: Column, endpoint: Column, matched: Column) -> Column:
@@ -218,20 +232,36 @@ def link_calls(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
     """Links of calls: one to the only or the clearly stronger endpoint, else to every endpoint, marked ``ambiguous``.
 
     One endpoint is clearly stronger if it and the second have a confidence and differ by 0.2 or more.
+
+    Calls meet groups of endpoints that share path, method and service, each with its number and its two strongest; what a call is linked to is decided
+    on those. Only ambiguous calls meet endpoints themselves, and each such pair is a link.
     """
-    hits = lookup_endpoints(calls, endpoints)
-    call = Window.partitionBy("call_id")
-    best = call.orderBy(
-        F.coalesce("endpoint_confidence", F.lit(-1.0)).desc(), F.col("repo").desc(), F.col("file").desc(),
-        F.coalesce("_method", F.lit("")).desc(), F.coalesce("_path", F.lit("")).desc(), F.col("target_ord"),
-    )
-    hits = hits.withColumns({"matches": F.count("target_id").over(call), "_rank": F.row_number().over(best), "_next": F.lead("endpoint_confidence").over(best)})
-    clear = F.max(F.when(F.col("_rank") == 1, F.coalesce(F.col("endpoint_confidence") - F.col("_next") >= 0.2, F.lit(False)))).over(call)
-    return hits.withColumn("_clear", (F.col("matches") == 1) | clear).filter("matches = 0 OR NOT _clear OR _rank = 1").select(
-        "call_id", "target_id", "link_type", F.col("call_method").alias("method"), F.col("call_path").alias("path"), "matches",
-        ((F.col("matches") > 1) & ~F.col("_clear")).alias("ambiguous"),
-        link_confidence(F.col("call_confidence"), F.col("endpoint_confidence"), F.col("target_id").isNotNull()).alias("confidence"),
+    key = ["_path", "_m", "_s"]
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    e = _endpoint_forms(endpoints).withColumns({"_m": blank("_method"), "_s": blank("_service")})
+    order = [F.coalesce("endpoint_confidence", F.lit(-1.0)).desc(), F.col("repo").desc(), F.col("file").desc(), F.col("_m").desc(), F.col("target_ord")]
+    strong = F.struct((-F.coalesce("endpoint_confidence", F.lit(-1.0))).alias("weak"), "repo", "file", "_m", "target_ord", "target_id", "endpoint_confidence")
+    best = top_k(e, key, order, 2).groupBy(*key).agg(F.collect_list(strong).alias("best"))
+    groups = e.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.first("_method").alias("_method"), F.first("_service").alias("_service")).join(best, key)
+    hits = _in_tier(_call_forms(calls).join(groups, F.col("call_path") == F.col("_path"), "left"))
+
+    # the same order as above: strings from the last on, numbers from the first
+    text = lambda a, b, k, rest: F.when(a[k] > b[k], -1).when(a[k] < b[k], 1).otherwise(rest)
+    number = lambda a, b, k, rest: F.when(a[k] < b[k], -1).when(a[k] > b[k], 1).otherwise(rest)
+    first = lambda a, b: number(a, b, "weak", text(a, b, "repo", text(a, b, "file", text(a, b, "_m", number(a, b, "target_ord", F.lit(0))))))
+    flat = F.filter(F.flatten(F.collect_list(F.coalesce("best", F.array().cast(best.schema["best"].dataType)))), lambda x: x.isNotNull())
+    call = ["call_id", "call_method", "call_path", "call_confidence"]
+    decided = hits.groupBy(*call).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("matches"), F.first("_any").alias("_any"), F.array_sort(flat, first).alias("_best"), F.collect_list(F.when(F.col("n").isNotNull(), F.struct(*key))).alias("_groups")
+    ).withColumns({"_first": F.try_element_at("_best", F.lit(1)), "_next": F.try_element_at("_best", F.lit(2))})
+    lead = F.coalesce(F.col("_first.endpoint_confidence") - F.col("_next.endpoint_confidence") >= 0.2, F.lit(False))
+    decided = decided.withColumn("_one", (F.col("matches") <= 1) | lead)
+    shown = lambda df, target, strength: df.select(
+        "call_id", target.alias("target_id"), _link_type(target.isNotNull()).alias("link_type"), F.col("call_method").alias("method"), F.col("call_path").alias("path"), "matches", (~F.col("_one")).alias("ambiguous"),
+        link_confidence(F.col("call_confidence"), strength, target.isNotNull()).alias("confidence"),
     )
+    several = decided.filter("NOT _one").withColumn("_g", F.explode("_groups")).select(*decided.columns, "_g.*").join(e.select(*key, "target_id", "endpoint_confidence"), key)
+    return shown(decided.filter("_one"), F.col("_first.target_id"), F.col("_first.endpoint_confidence")).unionByName(shown(several, F.col("target_id"), F.col("endpoint_confidence")))
 
 
 def dedupe_calls(calls: DataFrame) -> DataFrame:

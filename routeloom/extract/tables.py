@@ -58,11 +58,24 @@ def route_facts(files: DataFrame) -> DataFrame:
     return per_file(files.withColumnRenamed("path", "file"), routes.route_facts, "kind string, line long, receiver string, method string, path string, name string, snippet string", ("repo", "file"))
 
 
+#: Which parser reads the symbols of a file, by its suffix; add a language here.
+SYMBOL_PARSERS: dict[str, Callable[[str], list[dict]]] = dict.fromkeys((".ts", ".tsx", ".js", ".jsx"), symbols.js_symbols)
+
+
 def js_symbols(files: DataFrame) -> DataFrame:
-    ts = files.filter(kinds.suffix(F.col("path")).isin(".ts", ".tsx", ".js", ".jsx"))
+    """Symbols of the files whose suffix has a parser."""
+    parsers = dict(SYMBOL_PARSERS)
+    known = files.filter(kinds.suffix(F.col("path")).isin(*parsers))
+    packed = known.withColumn("_in", F.concat_ws("\n", kinds.suffix(F.col("path")), "text")).filter("text IS NOT NULL")
+
+    def read(value: str) -> list[dict]:
+        ending, _, code = value.partition("\n")
+        return parsers[ending](code)
+
     return per_file(
-        ts, symbols.js_symbols,
+        packed, read,
         "name string, qualified_name string, kind string, parent string, start_line long, end_line long, export_kind string, is_static boolean, is_async boolean, params string",
+        text="_in",
     )
 
 

@@ -78,3 +78,19 @@ def matrix_summary(tests: DataFrame, limit: int = MAX_SCENARIOS) -> DataFrame:
     return ranked.groupBy("trace_id").agg(
         F.countDistinct("group_ord").alias("groups"), F.count(F.lit(1)).alias("scenarios"), F.array_sort(F.collect_list(F.when(F.col("_n") <= limit, shown))).alias("first")
     )
+
+
+def packets(targets: DataFrame, nodes: DataFrame, edges: DataFrame, sinks: DataFrame, places: DataFrame, tests: DataFrame) -> DataFrame:
+    """One row per trace of ``targets`` (trace_id, method, path, repo, handler, file): its packet. Every list has a bound of its own, so a packet is small."""
+    listed = lambda df, order, *cols: df.groupBy("trace_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(order, F.struct(*cols).alias("x")))), lambda r: r["x"]).alias("x"))
+    few_sinks = top_k(packet_sinks(sinks, nodes), ["trace_id"], [F.col("ord")], MAX_NODES)
+    parts = {
+        "trace_nodes": listed(packet_nodes(nodes), "rank", "node_id", "type", "name", "kind", "file", "symbol", "snippet"), "trace_edges": listed(packet_edges(edges), "rank", "source", "target", "type", "snippet"),
+        "sinks": listed(few_sinks, "rank", "name", "kind", "file", "snippet"), "source_windows": listed(source_windows(places), "ord", "file", "start_line", "text"),
+    }
+    out = targets
+    for name, df in parts.items():
+        out = out.join(df.withColumnRenamed("x", name), "trace_id", "left")
+    notes = packet_notes(nodes, edges).groupBy("trace_id").agg(F.array_sort(F.collect_list("note")).alias("notes"))
+    summary = matrix_summary(tests).select("trace_id", F.struct("groups", "scenarios", "first").alias("tests"))
+    return out.join(notes, "trace_id", "left").join(summary, "trace_id", "left")

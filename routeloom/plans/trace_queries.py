@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from routeloom.operators import contract_view, evidence_packet, grounding, related, suggestions
+from routeloom.operators import contract_view, evidence_packet, grounding, related, suggestions, told
 from routeloom.operators import trace_graph as tg
 from routeloom.functions import evidence as ev
 from routeloom.plans import derive, sql
 from routeloom.plans.queries import register
+from routeloom.plans.trace import derive_sinks
 
 _TYPES = {"signup": "api_endpoint", "click": "external_api", "error": "database", "view": "internal_step", "purchase": "queue"}
 _NAMES = ("validate token", "return order", "db.add(order)", "find_by_id", "call service", "commit(tx)", "email check", "load", "insert row")
@@ -463,3 +464,106 @@ def contract_view_query(spark, sf_dir):
         "route_id", F.array_join(F.transform("request", field), ",").alias("request"), F.array_join(F.transform("responses", lambda r: F.concat_ws(":", r["status"], r["grounding"])), ",").alias("responses"),
         "grounded", "inferred", "scaffold", "confidence",
     )
+
+
+# --- tests, summaries and contracts that a model tells -------------------------------------------------------
+
+
+def _told_tests(spark, sf_dir):
+    k = F.col("p_partkey")
+    test = F.struct(
+        F.when(k % 7 != 0, F.concat(F.lit("t"), k)).alias("name"), _pick(("positive", "validation"), k).alias("category"), F.lit("says").alias("summary"), F.when(k % 5 == 0, "get").alias("method"), F.when(k % 11 == 0, "/other").alias("route"),
+        F.struct(_pick(("200", "4xx", "404"), k % 13).alias("status")).alias("expected"), F.when(k % 3 == 0, F.array(F.lit("request.body.a"))).alias("contract_refs"),
+    )
+    answer = F.to_json(F.struct(F.array(F.struct(F.lit("g").alias("category"), F.array(test).alias("tests"))).alias("groups")))
+    return derive.table(spark, sf_dir, "part").select(k.alias("trace_id"), F.lit("POST").alias("method"), F.lit("/orders/").alias("path"), (k % 4 == 0).alias("has_contract"), answer.alias("answer"))
+
+
+_TOLD_TESTS = """x AS (SELECT p_partkey AS trace_id, CASE WHEN p_partkey % 7 = 0 THEN 'missing fields' WHEN p_partkey % 5 = 0 OR p_partkey % 11 = 0 THEN 'endpoint mismatch' WHEN (p_partkey % 13) % 3 = 1 THEN 'status is no number'
+  WHEN p_partkey % 3 <> 0 AND NOT (p_partkey % 4 = 0 AND p_partkey % 2 = 0) THEN 'not grounded' END AS dropped, CASE WHEN p_partkey % 7 <> 0 THEN 't' || p_partkey END AS name FROM part)"""
+
+
+@register("told_tests", f"WITH {_TOLD_TESTS} SELECT trace_id, name, dropped FROM x")
+def told_tests(spark, sf_dir):
+    return told.told_tests(_told_tests(spark, sf_dir)).select("trace_id", "name", "dropped")
+
+
+@register("merge_matrices", f"WITH {_TOLD_TESTS} SELECT trace_id, name, 1 AS group_ord FROM x WHERE dropped IS NULL UNION ALL SELECT trace_id, 'own', 0 FROM x")
+def merge_matrices(spark, sf_dir):
+    found = told.told_tests(_told_tests(spark, sf_dir))
+    own = found.select("trace_id", F.lit("own").alias("name"), F.lit(0).alias("group_ord"))
+    return told.merge_matrices(own, found)
+
+
+@register(
+    "told_summaries",
+    "SELECT event_id AS trace_id, 'n' AS name, CASE event_id % 4 WHEN 0 THEN 'no source steps' WHEN 1 THEN 'unknown source steps' WHEN 2 THEN 'no evidence' END AS dropped FROM events",
+)
+def told_summaries(spark, sf_dir):
+    k = F.col("event_id")
+    ids = F.when(k % 4 == 0, F.array().cast("array<string>")).when(k % 4 == 1, F.array(F.lit("zz"))).otherwise(F.array(F.lit("s1"), F.lit("s2")))
+    item = F.struct(ids.alias("source_step_ids"), F.when(k % 4 != 2, F.array(F.lit("s1"))).alias("evidence_refs"), F.lit(" n ").alias("name"))
+    answers = derive.table(spark, sf_dir, "events").select(k.alias("trace_id"), F.to_json(F.struct(F.array(item).alias("step_summaries"))).alias("answer"), F.array(F.lit("s1"), F.lit("s2")).alias("step_ids"))
+    return told.told_summaries(answers).select("trace_id", "name", "dropped")
+
+
+@register("told_calls", "SELECT event_id AS trace_id, 'c' || (event_id % 3) AS call, CASE WHEN event_id % 2 = 0 THEN 'high' ELSE 'low' END AS priority FROM events WHERE event_id % 3 <> 2")
+def told_calls(spark, sf_dir):
+    k = F.col("event_id")
+    item = F.struct(F.concat(F.lit("c"), k % 3).alias("call"), _pick(("HIGH", "soon"), k).alias("priority"))
+    answers = derive.table(spark, sf_dir, "events").select(k.alias("trace_id"), F.to_json(F.struct(F.array(item).alias("ranked_follow_calls"))).alias("answer"), F.array(F.lit("c0"), F.lit("c1")).alias("calls"))
+    return told.told_calls(answers).select("trace_id", "call", "priority")
+
+
+@register(
+    "refined_contracts",
+    "SELECT p_partkey AS route_id, CASE WHEN p_partkey % 5 = 0 THEN 'high' ELSE 'medium' END AS confidence, CASE p_partkey % 3 WHEN 1 THEN 'endpoint_mismatch' WHEN 2 THEN 'not an object' END AS dropped FROM part WHERE p_partkey % 3 <> 2 UNION ALL SELECT p_partkey, 'medium', 'not an object' FROM part WHERE p_partkey % 3 = 2",
+)
+def refined_contracts(spark, sf_dir):
+    k = F.col("p_partkey")
+    body = F.to_json(F.struct(_pick(("get", "POST"), k % 3).alias("method"), F.lit("/a/").alias("path"), F.when(k % 5 == 0, "high").alias("confidence")))
+    answers = derive.table(spark, sf_dir, "part").select(k.alias("route_id"), F.lit("GET").alias("method"), F.lit("/a").alias("path"), F.when(k % 3 == 2, "[1]").otherwise(body).alias("answer"))
+    return told.refined_contracts(answers).select("route_id", "confidence", "dropped")
+
+
+@register(
+    "expand_flows",
+    f"""WITH s AS (SELECT event_id AS flow_id, {_pick_sql(_TOLD, 'event_id')} AS raw, event_id % 5 AS w FROM events),
+    told AS (SELECT flow_id, trim(raw, ' ;') AS name FROM s WHERE w IN (2, 4) OR (w = 0 AND flow_id % 10 = 0)),
+    own AS (SELECT event_id AS flow_id, 'db.add(order)' AS name FROM events WHERE event_id % 2 = 0)
+    SELECT flow_id, name, count(*) AS n FROM (SELECT * FROM told UNION ALL SELECT * FROM own) GROUP BY ALL""",
+)
+def expand_flows(spark, sf_dir):
+    k = F.col("event_id")
+    own = derive.table(spark, sf_dir, "events").filter(k % 2 == 0).select(
+        k.alias("flow_id"), F.lit(1).cast("long").alias("ord"), F.lit("own").alias("kind"), F.lit("db.add(order)").alias("name"), F.lit(None).cast("string").alias("symbol"), F.lit("x.py").alias("file"), F.lit("r").alias("repo")
+    )
+    steps, _ = told.expand_flows(own, _answers(spark, sf_dir), derive_sinks)
+    return steps.groupBy("flow_id", "name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(
+    "expanded_sinks",
+    """SELECT event_id AS flow_id, 1 AS n FROM events""",
+)
+def expanded_sinks(spark, sf_dir):
+    none = spark.createDataFrame([], "flow_id long, ord long, kind string, name string, symbol string, file string, repo string")
+    _, sinks = told.expand_flows(none, _answers(spark, sf_dir), derive_sinks)
+    return sinks.filter("action = 'write' AND name = 'orders table'").groupBy("flow_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+
+
+@register(
+    "evidence_packets",
+    f"""WITH {_NODES}, {_EDGES}, {_TARGETS}, sinks AS (SELECT trace_id, count(DISTINCT (name, {_KIND}, file)) AS n FROM nodes WHERE type IN ('database', 'external_api', 'queue') GROUP BY 1),
+    n AS (SELECT trace_id, count(*) AS n FROM nodes GROUP BY 1), e AS (SELECT trace_id, count(*) AS n FROM edges GROUP BY 1)
+    SELECT trace_id, least(n.n, 40)::INT AS nodes, coalesce(least(e.n, 60), 0)::INT AS edges, coalesce(least(sinks.n, 40), 0)::INT AS sinks, ((n.n > 40)::INT + coalesce((e.n > 60)::INT, 0))::INT AS notes, n.n AS scenarios
+    FROM targets JOIN n USING (trace_id) LEFT JOIN e USING (trace_id) LEFT JOIN sinks USING (trace_id)""",
+)
+def evidence_packets(spark, sf_dir):
+    nodes, edges = trace_nodes(spark, sf_dir), trace_edges(spark, sf_dir)
+    no_sinks = spark.createDataFrame([], "trace_id long, ord long, name string, kind string, repo string, file string, symbol string, snippet string, confidence double")
+    places = nodes.select("trace_id", "ord", "repo", "file", F.lit(1).alias("start_line"), F.col("name").alias("text"))
+    tests = nodes.select("trace_id", F.lit(0).alias("group_ord"), "ord", F.lit("g").alias("group_category"), "name", F.lit(None).cast("string").alias("category"), F.lit("high").alias("priority"), "status", F.array().cast("array<string>").alias("contract_refs"))
+    packet = evidence_packet.packets(trace_targets(spark, sf_dir), nodes, edges, no_sinks, places, tests)
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    return packet.select("trace_id", size("trace_nodes").alias("nodes"), F.greatest(size("trace_edges"), F.lit(0)).alias("edges"), F.greatest(size("sinks"), F.lit(0)).alias("sinks"), F.greatest(size("notes"), F.lit(0)).alias("notes"), F.col("tests.scenarios").alias("scenarios"))

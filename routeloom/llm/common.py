@@ -69,9 +69,10 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def small_arrow_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Keep Arrow batches small: documents can be long, and Python workers have little memory."""
+def small_arrow_batches(spark: SparkSession, rows: int = 256, size: int = 8 << 20) -> None:
+    """Keep Arrow batches small, in rows and in bytes: documents can be long, and Python workers have little memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,16 +112,17 @@ def split_by_keys(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame
 
 
 #: Rows of a key from which on it counts as hot, at least, and hot keys, at most.
-HOT_ROWS, HOT_KEYS = 1_000, 10_000
+HOT_ROWS, HOT_KEYS = 256, 10_000
 
 
-def join_hot(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def join_hot(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", *, counts: DataFrame | None = None) -> DataFrame:
     """``rows`` joined with ``table``, which has each ``key`` once, though a key may hold any share of the rows.
 
     Keys that hold more than their share are few, whatever the size: at most :data:`HOT_KEYS`. Their rows of ``table`` are broadcast, so that
     theirs of ``rows`` stay where they are; the others meet by a shuffle. ``rows`` is read twice: it should be a written table.
+    ``counts``: (key, count) of the rows by key, where that is known; it may hold ``table``'s columns too.
     """
-    counts = rows.groupBy(key).count()
+    counts = rows.groupBy(key).count() if counts is None else counts
     total, most = counts.agg(F.sum("count"), F.max("count")).first()
     limit = max(HOT_ROWS, (total or 0) // HOT_KEYS)
     hot = [] if (most or 0) <= limit else [r[0] for r in counts.filter(F.col("count") > limit).filter(F.col(key).isNotNull()).select(key).collect()]

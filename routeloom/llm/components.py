@@ -8,21 +8,31 @@ from pyspark.sql import functions as F
 from routeloom.llm.common import discard, join_hot, materialise
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("a").agg(F.min("b").alias("least"))
+def _with_least(edges: DataFrame) -> DataFrame:
+    """``edges`` (a, b) with ``least``, the least neighbour of a. Neighbours are counted along, for nodes with many of them."""
+    least = materialise(edges.groupBy("a").agg(F.min("b").alias("least"), F.count(F.lit(1)).alias("count")), "edges-least")
+    joined = join_hot(edges, least.select("a", "least"), "a", counts=least.select("a", "count"))
+    joined._rl_path = least._rl_path
+    return joined
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = _least(both).select("a", F.least("a", "least").alias("least"))
-    return join_hot(both.filter("b > a"), least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).filter("a <> b").distinct()
+    both = _with_least(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    star = both.filter("b > a").select(F.col("b").alias("a"), F.least("a", "least").alias("b")).filter("a <> b").distinct()
+    return _written(star, both)
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = _least(down)
-    moved = join_hot(down, least, "a").filter("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
-    return moved.unionByName(least.select("a", F.col("least").alias("b"))).filter("a <> b").distinct()
+    down = _with_least(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    # each lower neighbour goes to the least one, and so does the node itself
+    moved = down.select(F.when(F.col("b") == F.col("least"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("least").alias("b"))
+    return _written(moved.filter("a <> b").distinct(), down)
+
+
+def _written(star: DataFrame, source: DataFrame) -> DataFrame:
+    made = materialise(star, "edges")
+    discard(source)
+    return made
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -34,9 +44,9 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialise(edges.select("a", "b").filter("a <> b").distinct(), "edges")
     mark = None
     while True:
-        star = materialise(_large_star(now), "edges")
+        star = _large_star(now)
         discard(now)
-        now = materialise(_small_star(star), "edges")
+        now = _small_star(star)
         discard(star)
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == mark:

@@ -186,30 +186,32 @@ def _candidates(posted: DataFrame, sig: DataFrame) -> tuple[DataFrame, list[Data
 
     ``posted`` (band, rid): the buckets. A small one gives its pairs. In a large one every text is compared with the first. Those that may
     reach the threshold are done: whoever is similar to them is close to the first too, 1 - 2 * (1 - threshold) at least, and linked to it.
-    The others are a bucket again, as long as that makes buckets much smaller; then all pairs of a bucket are compared, in units.
+    The others are a bucket again; one that fits in a tile is compared at once, larger ones as before, as long as that makes them much smaller.
     """
-    out, tables, before = None, [], None
-    add = lambda links: links if out is None else out.unionByName(links)
+    out, tables, before = None, [posted], None
     while True:
-        buckets = posted.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("rid").alias("hub")).filter("size > 1")
-        sized = materialise(join_hot(posted, buckets, "band"), "join-buckets")
-        tables.append(sized)
-        listed = _compare(_listed(sized.filter(F.col("size") <= LISTED)), sig, hot=False).filter("near").select("a", "b")
-        out = add(listed)
-        large = sized.filter(F.col("size") > LISTED)
-        n = large.count()
-        if not n:
+        buckets = materialise(posted.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("rid").alias("hub")).filter("size > 1"), "join-hubs")
+        sized = materialise(join_hot(posted, buckets, "band", counts=buckets.select("band", F.col("size").alias("count"))), "join-buckets")
+        tables += [buckets, sized]
+        if out is None:
+            most, out = LISTED, _compare(_listed(sized.filter(F.col("size") <= LISTED)), sig, hot=False).filter("near").select("a", "b")
+        else:
+            most = TILE_TEXTS
+        n = buckets.filter(F.col("size") > most).agg(F.sum("size")).first()[0] or 0
+        if before is not None:  # what is left after the first round
+            done = not n or n > 0.7 * before
+            out = out.unionByName(_within((sized if done else sized.filter(F.col("size") <= most)).select("band", "rid", "size"), sig))
+            if done:
+                return out, tables
+        elif not n:
             return out, tables
-        if before and n > 0.7 * before:
-            return add(_within(large.select("band", "rid", "size"), sig)), tables
         before = n
-        spokes = large.filter("rid <> hub")
+        spokes = sized.filter((F.col("size") > most) & (F.col("rid") != F.col("hub")))
         stars = materialise(_compare(spokes.select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct(), sig, hot=True), "join-stars")
-        tables.append(stars)
-        out = add(stars.select("a", "b"))
-        done = stars.filter("near").select(F.col("a").alias("hub"), F.col("b").alias("rid"))
-        posted = materialise(spokes.join(done, ["rid", "hub"], "left_anti").select("band", "rid"), "join-rest")
-        tables.append(posted)
+        out = out.unionByName(stars.select("a", "b"))
+        near = stars.filter("near").select(F.col("a").alias("hub"), F.col("b").alias("rid"))
+        posted = materialise(spokes.join(near, ["rid", "hub"], "left_anti").select("band", "rid"), "join-rest")
+        tables += [stars, posted]
 
 
 class _Unit:
@@ -315,10 +317,10 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     placed = materialise(
         groups.select(F.col("node").alias("rid"), F.col("root").alias("group")).join(reps.select("rid", "_rl_key", "least_id", "copies", "n"), "rid"), "join-groups"
     )
-    tiles = placed.groupBy("group").agg(
-        F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(TILE_TEXTS), F.sum("n") / F.lit(TILE_SHINGLES))).alias("tiles")
-    )
-    needed = join_hot(placed, tiles, "group").withColumn("tile", F.pmod(F.xxhash64("rid"), F.col("tiles")))
+    tiles = materialise(placed.groupBy("group").agg(
+        F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(TILE_TEXTS), F.sum("n") / F.lit(TILE_SHINGLES))).alias("tiles"), F.count(F.lit(1)).alias("count")
+    ), "join-tiles")
+    needed = join_hot(placed, tiles.select("group", "tiles"), "group", counts=tiles.select("group", "count")).withColumn("tile", F.pmod(F.xxhash64("rid"), F.col("tiles")))
     grouped, _ = split_by_keys(texts, "_rl_key", placed.select("_rl_key"))  # few texts are in groups; only they move
     sets = _shingle_sets(
         grouped.withColumnRenamed("doc_id", "least_id")
@@ -333,15 +335,19 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         "group", F.least("tile", "other").alias("one"), F.greatest("tile", "other").alias("two"), "tile", "rid", "copies", "shingles"
     )
     links = materialise(_verify(units), "join-links")
-    discard(sets, placed, groups)
+    discard(sets, placed, tiles, groups)
     roots = components(links.select(F.col("mate").alias("a"), F.col("rid").alias("b")))
     counted = links.groupBy("rid").agg(F.sum("linked").alias("linked")).join(roots.withColumnRenamed("node", "rid"), "rid", "left")
-    classes = reps.select("rid", "_rl_key", "least_id", "copies").join(counted, "rid", "left").select(
+    classes = materialise(reps.select("rid", "_rl_key", "least_id", "copies").join(counted, "rid", "left").select(
         "_rl_key", "least_id", "copies", F.coalesce("linked", F.lit(0)).alias("linked"), F.coalesce("root", "rid").alias("root")
-    )
-    classes = materialise(classes, "join-classes")
+    ), "join-rooted")
     discard(links, roots, reps)
-    return signed.select("doc_id", "_rl_key", "n"), classes
+    one = F.struct(F.col("least_id").isNull().alias("none"), "least_id", "_rl_key")
+    of_root = materialise(classes.groupBy("root").agg(F.min("least_id").alias("class_id"), F.min(one).alias("one"), F.sum("copies").alias("members"), F.count(F.lit(1)).alias("count")), "join-roots")
+    whole = join_hot(classes, of_root.drop("count"), "root", counts=of_root.select("root", "count"))
+    whole = materialise(whole.select("_rl_key", "least_id", "copies", "linked", "class_id", "members", (F.col("one._rl_key") == F.col("_rl_key")).alias("stays")), "join-classes")
+    discard(classes, of_root)
+    return signed.select("doc_id", "_rl_key", "n"), whole
 
 
 def join_similar(docs: DataFrame) -> DataFrame:
@@ -356,12 +362,10 @@ def join_similar(docs: DataFrame) -> DataFrame:
     Repeated rows are documents of their own. Other columns are ignored.
     """
     rows, classes = _classes(docs)
-    least = classes.groupBy("root").agg(F.min("least_id").alias("class_id"))
-    by_key = join_hot(classes, least, "root").select("_rl_key", "class_id", (F.col("linked") + F.col("copies") - 1).alias("n_links"))
-    found = join_hot(rows, by_key, "_rl_key", "left")
-    return found.select(
-        "doc_id", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
-    )
+    by_key = classes.select("_rl_key", "class_id", (F.col("linked") + F.col("copies") - 1).cast("long").alias("n_links"))
+    found = join_hot(rows.filter("n > 0"), by_key, "_rl_key", counts=classes.select("_rl_key", F.col("copies").alias("count")))
+    blank = rows.filter("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return found.select("doc_id", "class_id", "n_links").unionByName(blank)
 
 
 def drop_similar(docs: DataFrame) -> DataFrame:
@@ -370,16 +374,11 @@ def drop_similar(docs: DataFrame) -> DataFrame:
     Of rows that repeat its id and text, that stays whose other columns come first as JSON.
     """
     _, classes = _classes(docs.select("doc_id", "text"))
-    keep = materialise(
-        classes.groupBy("root").agg(F.min(F.struct(F.col("least_id").isNull().alias("none"), "least_id", "_rl_key")).alias("k"))
-        .select(F.col("k._rl_key").alias("_rl_key"), F.col("k.least_id").alias("_rl_id"), F.lit(1).alias("_rl_keep")),
-        "join-keep",
-    )
+    keep = classes.filter("stays").select(F.col("_rl_key").alias("_rl_k"), F.col("least_id").alias("_rl_id"))
     rows = docs.withColumn("_rl_key", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
     match = (F.col("_rl_key") == F.col("_rl_k")) & F.col("doc_id").eqNullSafe(F.col("_rl_id"))
-    contested = join_hot(classes, classes.groupBy("root").count(), "root").filter("count > 1 OR copies > 1").select("_rl_key")
-    maybe, alone = split_by_keys(rows, "_rl_key", contested)
-    stays = maybe.join(keep.withColumnRenamed("_rl_key", "_rl_k"), match, "left_semi")
+    maybe, alone = split_by_keys(rows, "_rl_key", classes.filter("members > 1").select("_rl_key"))
+    stays = maybe.join(keep, match, "left_semi")
     if not stays.groupBy("_rl_key").count().filter("count > 1").isEmpty():  # repeated rows of one document
         whole = F.struct(*[F.col(f"`{c}`") for c in stays.columns])
         others = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")], F.lit(0)))

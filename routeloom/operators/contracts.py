@@ -26,6 +26,23 @@ def scaffold(endpoints: DataFrame) -> DataFrame:
     })
 
 
+def from_source(contracts: DataFrame, fields: DataFrame, answers: DataFrame) -> DataFrame:
+    """Contracts (endpoint_id, …) with what their handlers read and answer, section by section: a section that source text shows takes the place of the scaffold's.
+
+    ``fields``: endpoint_id, place, name, type, required; ``answers``: endpoint_id, status. Adds ``query_params`` and ``headers``; a guard counts as a header.
+    """
+    place = F.when(F.col("place") == "auth", "header").otherwise(F.col("place"))
+    one = F.struct("name", "type", "required")
+    listed = fields.withColumn("_place", place).groupBy("endpoint_id").agg(*[F.array_sort(F.collect_set(F.when(F.col("_place") == p, one))).alias(f"_{p}") for p in ("body", "query", "header")])
+    statuses = answers.groupBy("endpoint_id").agg(F.array_sort(F.collect_set("status")).alias("_statuses"))
+    rows = contracts.join(listed, "endpoint_id", "left").join(statuses, "endpoint_id", "left")
+    none = F.array().cast(f"array<{_FIELD}>")
+    shown = lambda c, other: F.when(F.size(c) > 0, F.col(c)).otherwise(other)
+    return rows.withColumns({
+        "body": shown("_body", F.col("body")), "query_params": shown("_query", none), "headers": shown("_header", none), "statuses": shown("_statuses", F.col("statuses")),
+    }).drop("_body", "_query", "_header", "_statuses")
+
+
 def body_fields_of(statements: Column) -> Column:
     """Fields that statements read from a request body, each once; ``body['x']`` and ``req.body.x`` are required, ``get('x')`` is not."""
     code = F.array_join(statements, "\n")

@@ -141,6 +141,14 @@ def merge_routes(candidates: DataFrame) -> DataFrame:
     )
 
 
+def merge_planned(routes_df: DataFrame) -> DataFrame:
+    """One row per repo, method and path identity of routes (ord, repo, method, path, handler, status, …): the first that a plan gave, else the first with a handler, else the first."""
+    planned = F.coalesce(F.col("status").startswith("deterministic_plan"), F.lit(False))
+    order = F.struct((~planned).alias("a"), (~planned & F.col("handler").isNull()).alias("b"), F.col("ord"))
+    key = ["repo", F.upper(F.coalesce("method", F.lit(""))).alias("_m"), F.coalesce(routes.path_identity(F.col("path")), F.lit("")).alias("_p")]
+    return first_per_key(routes_df, key, order)
+
+
 def dedupe_endpoints(endpoints: DataFrame) -> DataFrame:
     """One row per repo, file, method, path identity and handler: first non-null fields, greatest confidence, all evidence in order.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from routeloom.extract import tables
+from routeloom.operators import contracts
 from routeloom.plans import derive, discovery
 from routeloom.plans.queries import register
 
@@ -274,3 +275,37 @@ def resolve_handlers(spark, sf_dir):
 )
 def discovered_routes(spark, sf_dir):
     return discovery.discover(_sources(spark, sf_dir).select("repo", "path", "text")).select("repo", "method", "path", "handler", "file")
+
+
+@register(
+    "contracts_from_source",
+    "SELECT repo, path AS file, handler, body, query, header, statuses FROM ("
+    + _rows(
+        "'show_' || k AS handler, 'kind:true,size' || (k % 3) || ':false' AS body, 'page' AS query, 'Authorization' AS header, '202,400' AS statuses",
+        "'load_' || k AS handler, '' AS body, '' AS query, '' AS header, '200,404' AS statuses",
+    ) + ")",
+)
+def contracts_from_source(spark, sf_dir):
+    handlers = _handlers(spark, sf_dir).withColumn("endpoint_id", F.concat_ws("|", "repo", "file", "handler")).withColumn("path", F.lit("/x"))
+    ids = handlers.select("endpoint_id", "repo", "file", "handler")
+    keyed = lambda df: df.join(ids, ["repo", "file", "handler"])
+    made = contracts.from_source(contracts.scaffold(handlers.drop("text")), keyed(tables.request_fields(handlers.drop("path"))), keyed(tables.responses(handlers.drop("path"))))
+    names = lambda c: F.array_join(F.transform(c, lambda f: f["name"]), ",")
+    body = F.coalesce(F.array_join(F.transform("body", lambda f: F.concat_ws(":", f["name"], f["required"].cast("string"))), ","), F.lit(""))
+    return made.select("repo", "file", "handler", body.alias("body"), names("query_params").alias("query"), names("headers").alias("header"), F.array_join("statuses", ",").alias("statuses"))
+
+
+_TIED = "export function once(a) {\n  return a\n}\nfunction twice(b) {\n  return b\n}\nfunction uploadAll(c) {\n  return c\n}\n"
+
+
+@register(
+    "resolve_calls",
+    """SELECT 'r' AS repo, 'src/x.ts' AS file, handler, status, target FROM (VALUES ('once', 'resolved', 'src/a.ts'), ('twice', 'ambiguous', 'src/a.ts'), ('uploadAll', 'resolved', 'src/a.ts'), ('tested', 'resolved', 'src/c.ts'), ('none', 'unresolved', NULL)) t(handler, status, target)""",
+)
+def resolve_calls(spark, sf_dir):
+    plain = _TIED.replace("export ", "")
+    files = [("r", "src/a.ts", _TIED), ("r", "src/b.ts", plain), ("r", "src/c.ts", "function tested() {\n}\n"), ("r", "src/tests/d.ts", "function tested() {\n}\n")]
+    declared = tables.js_symbols(spark.createDataFrame(files, "repo string, path string, text string"))
+    asked = spark.createDataFrame([("r", "src/x.ts", h) for h in ("once", "twice", "uploadAll", "tested", "none")], "repo string, file string, handler string")
+    none = spark.createDataFrame([], "repo string, file string, name string, path string")
+    return discovery.resolve_handlers(asked, declared, none, break_ties=True).select("repo", "file", "handler", "status", F.col("target_file").alias("target"))

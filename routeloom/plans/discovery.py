@@ -81,25 +81,38 @@ def discover(files: DataFrame) -> DataFrame:
     return relational.merge_routes(placed.drop("line", "pos", "_way", "_part"))
 
 
-def resolve_handlers(endpoints: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
+def resolve_handlers(endpoints: DataFrame, symbols: DataFrame, imports: DataFrame, *, break_ties: bool = False) -> DataFrame:
     """``repo, file, handler, status, target_file, start_line, candidates``: where handlers are implemented.
 
     In this order: a function of the same file; what the import of the handler's first part leads to; the only symbol of that
-    name in the repository. Several are ``ambiguous``, none is ``unresolved``.
+    name in the repository. Several are ``ambiguous``, none is ``unresolved``. ``break_ties``, for names that are called: of several, the only
+    function, the only exported one, the only one outside of test folders, the first of these for a transfer of files, or the only exported symbol.
     """
     wanted = endpoints.select("repo", "file", "handler").filter("handler IS NOT NULL").distinct()
     keyed = wanted.withColumn("_root", F.substring_index("handler", ".", 1)).withColumn("_member", F.substring_index("handler", ".", -1))
-    s = symbols.select("repo", F.col("path").alias("target_file"), "name", "qualified_name", "kind", "start_line")
+    s = symbols.select("repo", F.col("path").alias("target_file"), "name", "qualified_name", "kind", "start_line", F.col("export_kind").isNotNull().alias("exported"))
     local = keyed.join(s.withColumnRenamed("target_file", "file").filter("kind = 'function'"), ["repo", "file"]).filter("name = handler").withColumn("target_file", F.col("file")).withColumn("tier", F.lit(0))
     far = keyed.join(import_targets(imports).withColumnRenamed("name", "_root"), ["repo", "file", "_root"]).join(s.withColumnRenamed("target_file", "target"), ["repo", "target"])
     far = far.filter("(handler = _root AND name = handler AND kind IN ('function', 'class')) OR (handler <> _root AND qualified_name = handler)").withColumn("target_file", F.col("target")).withColumn("tier", F.lit(1))
     named = keyed.join(
-        s.select("repo", "target_file", "start_line", "kind", F.explode(F.array_distinct(F.array("name", "qualified_name"))).alias("handler")), ["repo", "handler"]
+        s.select("repo", "target_file", "start_line", "kind", "exported", F.explode(F.array_distinct(F.array("name", "qualified_name"))).alias("handler")), ["repo", "handler"]
     ).withColumn("tier", F.lit(2))
-    cols = ["repo", "file", "handler", "target_file", "start_line", "tier"]
+    cols = ["repo", "file", "handler", "target_file", "start_line", "kind", "exported", "tier"]
     every = local.select(*cols).unionByName(far.select(*cols)).unionByName(named.select(*cols))
     best = every.withColumn("_top", F.min("tier").over(Window.partitionBy("repo", "file", "handler"))).filter("tier = _top").distinct()
-    counted = best.groupBy("repo", "file", "handler").agg(F.count(F.lit(1)).alias("candidates"), F.min(F.struct("target_file", "start_line")).alias("t"), F.min("tier").alias("tier"))
+    place = F.struct("target_file", "start_line")
+    function, outside = F.col("kind") == "function", ~F.concat(F.lit("/"), "target_file").contains("/tests/")
+    ties = {"fn": function, "shared": function & F.col("exported"), "outside": function & outside, "public": F.col("exported")}
+    counted = best.groupBy("repo", "file", "handler").agg(
+        F.count(F.lit(1)).alias("candidates"), F.min(place).alias("t"), F.min("tier").alias("tier"),
+        *[x for n, c in ties.items() for x in (F.count_if(c).alias(f"_n_{n}"), F.min(F.when(c, place)).alias(f"_{n}"))],
+    )
     out = wanted.join(counted, ["repo", "file", "handler"], "left")
-    status = F.when(F.col("candidates").isNull(), "unresolved").when((F.col("candidates") > 1) & (F.col("tier") == 2), "ambiguous").otherwise("resolved")
+    open_ = (F.col("candidates") > 1) & (F.col("tier") == 2)
+    if break_ties:
+        transfer = F.lower("handler").rlike("^(upload|download|putobject)")
+        pick = F.coalesce(*[F.when(F.col(f"_n_{n}") == 1, F.col(f"_{n}")) for n in ("fn", "shared", "outside")], F.when(transfer, F.col("_outside")), F.when(F.col("_n_public") == 1, F.col("_public")))
+        out = out.withColumns({"t": F.when(open_, F.coalesce(pick, "t")).otherwise(F.col("t")), "_settled": open_ & pick.isNotNull()})
+        open_ = open_ & ~F.col("_settled")
+    status = F.when(F.col("candidates").isNull(), "unresolved").when(open_, "ambiguous").otherwise("resolved")
     return out.select("repo", "file", "handler", status.alias("status"), "t.target_file", "t.start_line", F.coalesce("candidates", F.lit(0)).alias("candidates"))

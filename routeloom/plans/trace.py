@@ -83,12 +83,12 @@ def script_steps(statements: DataFrame) -> DataFrame:
 def follow_calls(selected: DataFrame, statements: DataFrame, files: DataFrame, facts: DataFrame, declared: DataFrame, budgets: follow.Budgets = follow.Budgets()) -> tuple[DataFrame, DataFrame]:
     """What becomes of the calls in handlers, and the layers: see :func:`routeloom.operators.follow.follow` and :func:`~routeloom.operators.follow.layered_steps`.
 
-    A call is resolved like a handler: a function of its own file, what its import leads to, the only symbol of its name.
+    A call is resolved like a handler, but that of several symbols of its name one may be preferred.
     """
     own = statements.withColumnRenamed("flow_id", "endpoint_id").withColumn("file", F.col("path"))
     calls = cut(follow.calls_of(own))
     asked = calls.select("endpoint_id", F.col("file"), F.col("call").alias("handler")).join(own.select("endpoint_id", "repo").distinct(), "endpoint_id")
-    where = cut(discovery.resolve_handlers(asked, declared, facts.filter("kind = 'import'")))
+    where = cut(discovery.resolve_handlers(asked, declared, facts.filter("kind = 'import'"), break_ties=True))
     there = _bodies(where.filter("status = 'resolved'"), files, declared)
     inner = cut(_signalled(there, "file", "handler"))
     lists = inner.groupBy("repo", "file", "handler").agg(F.array_sort(F.collect_list(F.struct("index", "text", "signals"))).alias("statements"))

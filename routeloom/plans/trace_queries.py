@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from routeloom.operators import contract_view, evidence_packet, grounding, related, suggestions, told
+from routeloom.functions import routes
+from routeloom.operators import contract_view, evidence_packet, grounding, related, relational, suggestions, told
 from routeloom.operators import trace_graph as tg
 from routeloom.functions import evidence as ev
 from routeloom.plans import derive, sql
@@ -567,3 +568,13 @@ def evidence_packets(spark, sf_dir):
     packet = evidence_packet.packets(trace_targets(spark, sf_dir), nodes, edges, no_sinks, places, tests)
     size = lambda c: F.coalesce(F.size(c), F.lit(0))
     return packet.select("trace_id", size("trace_nodes").alias("nodes"), F.greatest(size("trace_edges"), F.lit(0)).alias("edges"), F.greatest(size("sinks"), F.lit(0)).alias("sinks"), F.greatest(size("notes"), F.lit(0)).alias("notes"), F.col("tests.scenarios").alias("scenarios"))
+
+
+@register(
+    "merge_planned",
+    f"""WITH {sql.ENDPOINTS}, r AS (SELECT *, CASE WHEN ord % 9 = 0 THEN 'deterministic_plan' ELSE status END AS st FROM endpoints)
+    SELECT repo, upper(method) AS method, {sql.identity('path')} AS path, coalesce(arg_min(ord, ord) FILTER (st = 'deterministic_plan'), arg_min(ord, ord) FILTER (handler IS NOT NULL), min(ord)) AS ord FROM r GROUP BY 1, 2, 3""",
+)
+def merge_planned(spark, sf_dir):
+    rows = derive.endpoints(spark, sf_dir).withColumn("status", F.when(F.col("ord") % 9 == 0, "deterministic_plan").otherwise(F.col("status")))
+    return relational.merge_planned(rows).select("repo", routes.method(F.col("method")).alias("method"), routes.path_identity(F.col("path")).alias("path"), "ord")

@@ -59,6 +59,16 @@ def runs(spark: SparkSession, root: str, workspace_id: str) -> DataFrame:
     return own.groupBy("run_id").agg(F.max("saved_at").alias("saved_at"), F.count(F.lit(1)).alias("artifacts")).orderBy(F.desc("saved_at"), F.desc("run_id"))
 
 
+def artifact_metadata(payload: Column) -> Column:
+    """``struct(repos, method, path, timestamp)`` of a stored artifact, a variant: its own fields, else those of the result within it."""
+    at = lambda *paths: F.coalesce(*[F.try_variant_get(payload, p, "string") for p in paths])
+    lists = [F.try_variant_get(payload, p, "array<struct<name:string,root:string>>") for p in ("$.repo_inputs", "$.result.repos")]
+    return F.struct(
+        F.coalesce(*lists, F.array().cast("array<struct<name:string,root:string>>")).alias("repos"), at("$.target.method", "$.result.target.method").alias("method"), at("$.target.path", "$.result.target.path").alias("path"),
+        F.coalesce(F.nullif(at("$.timestamp"), F.lit("")), F.nullif(at("$.artifact_metadata.timestamp"), F.lit(""))).alias("timestamp"),
+    )
+
+
 def postman_path(c: Column) -> Column:
     p = F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit("/"))
     return F.regexp_replace(F.when(p.startswith("/"), p).otherwise(F.concat(F.lit("/"), p)), "/{2,}", "/")

@@ -154,3 +154,18 @@ def test_answers_of_any_shape(spark):
     got = [(r["flow_id"], r["name"], r["kind"], r["confidence"], r["dropped"]) for r in grounding.told_steps(df).orderBy("flow_id", "ord").collect()]
     assert got == [(1, "db.add(x)", "db_write", 1.0, None), (1, None, "unknown", None, "not an object"), (1, "f", "unknown", None, None)]
     assert [(r["name"], r["dropped"]) for r in grounding.told_sinks(df).orderBy("ord").collect()] == [("s", None), (None, "missing name and symbol")]
+
+
+def test_artifact_metadata(spark):
+    rows = [('{"repo_inputs": [{"name": "a", "root": "/a"}], "target": {"method": "GET", "path": "/x"}, "timestamp": "t"}',), ('{"result": {"repos": [{"name": "b"}], "target": {"path": "/y"}}, "artifact_metadata": {"timestamp": "u"}}',), ("{}",)]
+    got = spark.createDataFrame(rows, "j string").select(artifacts.artifact_metadata(F.parse_json(F.col("j"))).alias("m")).select("m.*").collect()
+    assert [([r["name"] for r in g["repos"]], g["method"], g["path"], g["timestamp"]) for g in got] == [(["a"], "GET", "/x", "t"), (["b"], None, "/y", "u"), ([], None, None, None)]
+
+
+def test_prompts_are_cut(spark):
+    from routeloom.operators import told
+
+    df = spark.createDataFrame([(["x" * 100] * 50,), (["x" * 100] * 400,), ([],)], "a array<string>")
+    made = [r[0] for r in df.select(told.prompt("planner", {"files": F.col("a")}, F.lit("repo"))).collect()]
+    assert all(len(p) <= 12_000 and p.startswith("Say how") for p in made)
+    assert [len(json.loads(p.split("\n", 1)[1])["files"]) for p in made] == [50, 100, 0]

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from routeloom.plans import code_queries, scenario_queries, trace_queries  # noqa: F401
+from routeloom.plans import code_queries, scenario_queries, trace_queries, value_queries  # noqa: F401
 from routeloom.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"

@@ -197,6 +197,6 @@ def test_trace(spark):
     t = trace(files, "/deep/{id}", "GET")
     assert {(r["call"], r["outcome"], r["target_file"]) for r in t.followed.collect()} == {("load", "followed", "src/svc.js"), ("helper", "followed", "src/r.js")}
     assert sorted((r["depth"], r["kind"]) for r in t.layers.collect()) == [
-        (0, "endpoint"), (1, "handler"), (1, "request_params"), (1, "response"), (1, "transform"), (2, "database_read"), (2, "response"), (2, "service_call"), (2, "service_call"), (2, "transform"),
+        (0, "endpoint"), (1, "handler"), (1, "request_params"), (1, "response"), (1, "transform"), (2, "response"), (2, "response"), (2, "service_call"), (2, "service_call"), (2, "transform"),
     ]
     assert t.layer_edges.count() == 9 and t.summary.first()["followed"] == 2

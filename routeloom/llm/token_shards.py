@@ -35,7 +35,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END_OF_TEXT = 50_256
 #: Tokens of a sequence, and sequences of a shard, about, at most.
-TOKENS, PER_SHARD = 512, 65_536
+TOKENS, PER_SHARD = 512, 32_768
 KEY = 0x5EED_0F_0BDE2
 #: Bytes of records that a partition writes, about, at most.
 PARTITION_BYTES = 256 << 20
@@ -253,8 +253,9 @@ def locate(spark: SparkSession, path: str, slot: int) -> tuple[str, int] | None:
 def read_shards(spark: SparkSession, path: str, *, first: int = 0) -> DataFrame:
     """The records from slot ``first`` on: ``slot, shard, byte_offset, doc_id, part, n_tokens, tokens, tokens_crc32`` (of the ids as 16-bit bytes).
 
-    Shards before it are not opened. A task holds the shards of its split, ``spark.sql.files.maxPartitionBytes`` of them, or one.
+    Shards before it are not opened. A task holds one shard at a time.
     """
+    small_arrow_batches(spark)
     form = read_format(spark, path)
     index = spark.read.schema(_INDEX).parquet(f"{path}/index")
     schema = f"slot long, shard long, byte_offset long, doc_id {form.id_type}, part long, n_tokens long, tokens binary, tokens_crc32 long"

@@ -112,7 +112,7 @@ def split_by_keys(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame
 
 
 #: Rows of a key from which on it counts as hot, at least, and hot keys, at most.
-HOT_ROWS, HOT_KEYS = 256, 10_000
+HOT_ROWS, HOT_KEYS = 256, 2_000
 
 
 def join_hot(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", *, counts: DataFrame | None = None) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -100,7 +99,7 @@ SIGNAL_WORDS = {
     "response_return": ("res.status", "res.send", "res.json", "return "),
     "sql_literal": ("insert into", "select ", "update ", "delete from"),
 }
-SIGNAL_FORMS = {"branch": (r"\bif\s*\(",), "response_transform": (r"\bdata\.[a-z_]\w*\s*=",)}
+SIGNAL_FORMS = {"branch": r"\bif\s*\(", "response_transform": r"\bdata\.[a-z_]\w*\s*="}
 
 # What messages of failed model calls say, and what that means, in the order they are tried.
 ERROR_WORDS = (
@@ -219,9 +218,9 @@ def step_name(kind: Column, detail: Column) -> Column:
 
 
 def statement_signals(text: Column) -> Column:
-    """Sorted signals of a statement. Its text is read once for each signal."""
+    """Sorted signals of a statement. All of it is compiled code, so the lower-case text is made once; words are sought as they are, forms by pattern."""
     t = F.lower(text)
-    found = {s: t.rlike("|".join([*map(re.escape, SIGNAL_WORDS.get(s, ())), *SIGNAL_FORMS.get(s, ())])) for s in (*SIGNAL_WORDS, *SIGNAL_FORMS)}
+    found = {s: any_of(t, words) for s, words in SIGNAL_WORDS.items()} | {s: t.rlike(form) for s, form in SIGNAL_FORMS.items()}
     return F.array_remove(F.array(*[F.when(found[s], F.lit(s)).otherwise(F.lit("")) for s in sorted(found)]), "")
 
 

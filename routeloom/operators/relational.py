@@ -241,35 +241,40 @@ def link_calls(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
 
     One endpoint is clearly stronger if it and the second have a confidence and differ by 0.2 or more.
 
-    Calls meet groups of endpoints that share path, method and service, each with its number and its two strongest; what a call is linked to is decided
-    on those. Only ambiguous calls meet endpoints themselves, and each such pair is a link.
+    What a call may reach is all endpoints of its path, method and service; else of its path and method; else of its path and service, or of
+    its path. For each of these keys the number of endpoints and the two strongest are known, so a call is decided by four lookups. Only
+    ambiguous calls meet endpoints themselves, and each such pair is a link.
     """
-    key = ["_path", "_m", "_s"]
-    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
-    e = _endpoint_forms(endpoints).withColumns({"_m": blank("_method"), "_s": blank("_service")})
-    order = [F.coalesce("endpoint_confidence", F.lit(-1.0)).desc(), F.col("repo").desc(), F.col("file").desc(), F.col("_m").desc(), F.col("target_ord")]
-    strong = F.struct((-F.coalesce("endpoint_confidence", F.lit(-1.0))).alias("weak"), "repo", "file", "_m", "target_ord", "target_id", "endpoint_confidence")
-    best = top_k(e, key, order, 2).groupBy(*key).agg(F.collect_list(strong).alias("best"))
-    groups = e.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.first("_method").alias("_method"), F.first("_service").alias("_service")).join(best, key)
-    hits = _in_tier(_call_forms(calls).join(groups, F.col("call_path") == F.col("_path"), "left"))
-
-    # the same order as above: strings from the last on, numbers from the first
-    text = lambda a, b, k, rest: F.when(a[k] > b[k], -1).when(a[k] < b[k], 1).otherwise(rest)
-    number = lambda a, b, k, rest: F.when(a[k] < b[k], -1).when(a[k] > b[k], 1).otherwise(rest)
-    first = lambda a, b: number(a, b, "weak", text(a, b, "repo", text(a, b, "file", text(a, b, "_m", number(a, b, "target_ord", F.lit(0))))))
-    flat = F.filter(F.flatten(F.collect_list(F.coalesce("best", F.array().cast(best.schema["best"].dataType)))), lambda x: x.isNotNull())
-    call = ["call_id", "call_method", "call_path", "call_confidence"]
-    decided = hits.groupBy(*call).agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("matches"), F.first("_any").alias("_any"), F.array_sort(flat, first).alias("_best"), F.collect_list(F.when(F.col("n").isNotNull(), F.struct(*key))).alias("_groups")
-    ).withColumns({"_first": F.try_element_at("_best", F.lit(1)), "_next": F.try_element_at("_best", F.lit(2))})
+    e = _endpoint_forms(endpoints).filter("_path IS NOT NULL")
+    order = [F.coalesce("endpoint_confidence", F.lit(-1.0)).desc(), F.col("repo").desc(), F.col("file").desc(), F.coalesce("_method", F.lit("")).desc(), F.col("target_ord")]
+    e = e.withColumn("_rank", F.row_number().over(Window.partitionBy("_path").orderBy(*order)))  # what is strongest on a path
+    levels = [("_path", "_method", "_service"), ("_path", "_method"), ("_path", "_service"), ("_path",)]
+    called = {"_path": "call_path", "_method": "call_method", "_service": "call_service"}
+    rows, found, strong = _call_forms(calls), [], F.struct("_rank", "target_id", "endpoint_confidence")
+    for n, key in enumerate(levels):
+        own = e.dropna(subset=list(key))
+        best = top_k(own, key, [F.col("_rank")], 2).groupBy(*key).agg(F.array_sort(F.collect_list(strong)).alias("best"))
+        known = own.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).join(best, list(key)).select(
+            *[F.col(k).alias(f"{k}{n}") for k in key], F.struct(F.lit(n).alias("level"), F.col("n"), F.col("best")).alias(f"_found{n}")
+        )
+        rows = rows.join(known, [F.col(called[k]) == F.col(f"{k}{n}") for k in key], "left").drop(*[f"{k}{n}" for k in key])
+        found.append(F.col(f"_found{n}"))
+    decided = rows.withColumn("_f", F.coalesce(*found)).withColumns({
+        "matches": F.coalesce("_f.n", F.lit(0).cast("long")), "_any": F.col("_f.level") <= 1, "_first": F.try_element_at("_f.best", F.lit(1)), "_next": F.try_element_at("_f.best", F.lit(2)),
+    })
     lead = F.coalesce(F.col("_first.endpoint_confidence") - F.col("_next.endpoint_confidence") >= 0.2, F.lit(False))
     decided = decided.withColumn("_one", (F.col("matches") <= 1) | lead)
     shown = lambda df, target, strength: df.select(
         "call_id", target.alias("target_id"), _link_type(target.isNotNull()).alias("link_type"), F.col("call_method").alias("method"), F.col("call_path").alias("path"), "matches", (~F.col("_one")).alias("ambiguous"),
         link_confidence(F.col("call_confidence"), strength, target.isNotNull()).alias("confidence"),
     )
-    several = decided.filter("NOT _one").withColumn("_g", F.explode("_groups")).select(*decided.columns, "_g.*").join(e.select(*key, "target_id", "endpoint_confidence"), key)
-    return shown(decided.filter("_one"), F.col("_first.target_id"), F.col("_first.endpoint_confidence")).unionByName(shown(several, F.col("target_id"), F.col("endpoint_confidence")))
+    out = shown(decided.filter("_one"), F.col("_first.target_id"), F.col("_first.endpoint_confidence"))
+    several = decided.filter("NOT _one").withColumn("_level", F.col("_f.level")).drop("_f", "_first", "_next", *[f"_found{n}" for n in range(len(levels))])
+    for n, key in enumerate(levels):
+        targets = e.select(*key, "target_id", "endpoint_confidence")
+        pairs = several.filter(F.col("_level") == n).join(targets, [F.col(called[k]) == F.col(k) for k in key])
+        out = out.unionByName(shown(pairs, F.col("target_id"), F.col("endpoint_confidence")))
+    return out
 
 
 def dedupe_calls(calls: DataFrame) -> DataFrame:

@@ -268,13 +268,16 @@ def link_calls(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
         "call_id", target.alias("target_id"), _link_type(target.isNotNull()).alias("link_type"), F.col("call_method").alias("method"), F.col("call_path").alias("path"), "matches", (~F.col("_one")).alias("ambiguous"),
         link_confidence(F.col("call_confidence"), strength, target.isNotNull()).alias("confidence"),
     )
-    out = shown(decided.filter("_one"), F.col("_first.target_id"), F.col("_first.endpoint_confidence"))
-    several = decided.filter("NOT _one").withColumn("_level", F.col("_f.level")).drop("_f", "_first", "_next", *[f"_found{n}" for n in range(len(levels))])
-    for n, key in enumerate(levels):
-        targets = e.select(*key, "target_id", "endpoint_confidence")
-        pairs = several.filter(F.col("_level") == n).join(targets, [F.col(called[k]) == F.col(k) for k in key])
-        out = out.unionByName(shown(pairs, F.col("target_id"), F.col("endpoint_confidence")))
-    return out
+    # every endpoint under each of its keys; a call asks for the one key that decided it
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    parts = lambda n, key, col: F.struct(F.lit(n).alias("_level"), *[(blank(F.col(col(k))) if k in key else F.lit("")).alias(f"_k{k}") for k in called])
+    complete = lambda key: F.when(F.greatest(*[F.col(k).isNull() for k in key], F.lit(False)), F.lit(None))
+    keys = F.array(*[complete(key).otherwise(parts(n, key, lambda k: k)) for n, key in enumerate(levels)])
+    targets = e.select("target_id", "endpoint_confidence", F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("k")).select("target_id", "endpoint_confidence", "k.*")
+    asked = chain([(F.col("_f.level") == n, parts(n, key, lambda k: called[k])) for n, key in enumerate(levels)])
+    several = decided.filter("NOT _one").withColumn("k", asked).select("call_id", "call_method", "call_path", "call_confidence", "matches", "_any", "_one", "k.*")
+    pairs = several.join(targets, ["_level", *[f"_k{k}" for k in called]])
+    return shown(decided.filter("_one"), F.col("_first.target_id"), F.col("_first.endpoint_confidence")).unionByName(shown(pairs, F.col("target_id"), F.col("endpoint_confidence")))
 
 
 def dedupe_calls(calls: DataFrame) -> DataFrame:

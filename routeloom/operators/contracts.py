@@ -88,11 +88,11 @@ def merge_fields(base: Column, extra: Column) -> Column:
 def match_contract(routes_df: DataFrame, contracts: DataFrame) -> DataFrame:
     """Each route (route_id, method, path) with its contract (contract_ord): same method and path identity, else the first of the path."""
     key = lambda df, n: df.select("*", routes.path_identity(F.col("path")).alias("_key"), routes.method(F.col("method")).alias(n))
-    c = key(contracts, "_cm").select("contract_ord", "_key", "_cm")
-    hits = key(routes_df, "_rm").select("route_id", "_key", "_rm").join(c, "_key", "left")
-    best = hits.groupBy("route_id").agg(
-        F.min(F.when(F.col("_rm") == F.col("_cm"), F.col("contract_ord"))).alias("_exact"), F.min("contract_ord").alias("_any")
-    )
+    # the first contract of each path and method, and of each path: a route meets one row of each
+    firsts = key(contracts, "_rm").groupBy("_key", "_rm").agg(F.min("contract_ord").alias("_exact")).filter("_key IS NOT NULL")
+    anys = firsts.groupBy("_key").agg(F.min("_exact").alias("_any"))
+    hits = key(routes_df, "_rm").select("route_id", "_key", "_rm").join(anys, "_key", "left").join(firsts.filter("_rm IS NOT NULL"), ["_key", "_rm"], "left")
+    best = hits.groupBy("route_id").agg(F.min("_exact").alias("_exact"), F.min("_any").alias("_any"))
     return best.select("route_id", F.coalesce("_exact", "_any").alias("contract_ord"), F.when(F.col("_exact").isNotNull(), "exact").when(F.col("_any").isNotNull(), "path_only").alias("match"))
 
 

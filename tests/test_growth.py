@@ -1,12 +1,28 @@
 """What grows with the tables: texts are parsed once and by many tasks, and pairs that no result has are never rows."""
 
+from pyspark.sql import functions as F
 
-from routeloom.operators import contracts
+from routeloom.operators import contracts, relational
 
 def _plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_endpoints_are_counted_as_they_are_looked_up(spark):
+    endpoints = spark.createDataFrame(
+        [(1, "b", "f", "POST", "/a", "pay", 1.0), (2, "c", "f", "POST", "/a/", None, 0.8), (3, "b", "g", None, "/a", "pay", None), (4, "b", "g", "GET", "/b", "pay", 0.9), (5, "c", "g", "GET", "/b", None, 0.7), (6, "c", "g", "GET", None, None, 0.7)],
+        "ord long, repo string, file string, method string, path string, service string, confidence double",
+    )
+    calls = spark.createDataFrame(
+        [(1, "post", "/a", None, 0.5), (2, "post", "/a", "PAY", 0.5), (3, "put", "/a", "pay", None), (4, None, "/a", None, 0.5), (5, "get", None, None, None), (6, "GET", "http://h/b", "zzz", 0.5), (7, "get", "/gone", "pay", 0.5)],
+        "call_id long, method string, path string, service string, confidence double",
+    )
+    counted = {r["call_id"]: (r["link_type"], r["matches"]) for r in relational.count_endpoints(calls, endpoints).collect()}
+    assert counted == {1: ("exact_method_path", 2), 2: ("exact_method_path", 1), 3: ("path_only", 2), 4: ("path_only", 3), 5: (None, 0), 6: ("exact_method_path", 2), 7: (None, 0)}
+    found = relational.lookup_endpoints(calls, endpoints).groupBy("call_id", "link_type").agg(F.count("target_id").alias("n")).collect()
+    assert {r["call_id"]: (r["link_type"], r["n"]) for r in found} == counted
+
+
 def test_a_route_meets_one_contract_of_its_path_and_one_of_its_method(spark):
     made = spark.createDataFrame([(3, "GET", "/x"), (1, "POST", "/x/"), (2, "GET", "/x"), (5, None, "/x"), (4, "GET", None)], "contract_ord long, method string, path string")
     routes = spark.createDataFrame([(1, "get", "/x"), (2, "put", "x"), (3, None, "/x"), (4, "get", "/y"), (5, "get", None)], "route_id long, method string, path string")

@@ -88,8 +88,11 @@ def _fill(text: str, k):
 
 
 def _files(spark, sf_dir, text: str, ending: str, table="supplier", key="s_suppkey", name="src/f"):
+    """A few bytes of a row become a text, so rows are dealt out before: a table that is one split would be parsed by one task."""
     k = F.col(key)
-    return derive.table(spark, sf_dir, table).select(k.alias("k"), F.concat(F.lit("r"), k % 3).alias("repo"), F.concat(F.lit(name), k, F.lit(ending)).alias("path"), _fill(text, k).alias("text"))
+    keys = derive.table(spark, sf_dir, table).select(key)
+    dealt = keys.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), key)
+    return dealt.select(k.alias("k"), F.concat(F.lit("r"), k % 3).alias("repo"), F.concat(F.lit(name), k, F.lit(ending)).alias("path"), _fill(text, k).alias("text"))
 
 
 def _rows(*rows: str, table="supplier", key="s_suppkey", name="src/f", ending=".py") -> str:

@@ -14,22 +14,26 @@ from routeloom.session import cut
 SCRIPT_SUFFIXES = (".ts", ".tsx", ".js", ".jsx")
 
 
-def import_targets(imports: DataFrame) -> DataFrame:
-    """``repo, file, name, target, priority``: files that an import may mean, best first: as named, or with each suffix, or its index file."""
+def import_targets(imports: DataFrame, *more: str) -> DataFrame:
+    """``repo, file, name, target, priority`` and ``more``: files that an import may mean, best first: as named, or with each suffix, or its index file."""
     folder = F.regexp_replace("file", "[^/]*$", "")
     raw = F.concat(folder, "path")
     for _ in range(4):  # up to four steps up
         raw = F.regexp_replace(F.regexp_replace(raw, r"(^|/)\./", "$1"), r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
     named = F.regexp_extract(raw, r"[^/.](\.[^/.]+)$", 1) != ""
     options = F.when(named, F.array(raw)).otherwise(F.array(*[F.concat(raw, F.lit(s)) for s in SCRIPT_SUFFIXES], *[F.concat(raw, F.lit(f"/index{s}")) for s in SCRIPT_SUFFIXES]))
-    return imports.select("repo", "file", "name", F.posexplode(options).alias("priority", "target"))
+    return imports.select("repo", "file", "name", *more, F.posexplode(options).alias("priority", "target"))
 
 
-def _resolve(uses: DataFrame, routers: DataFrame, defaults: DataFrame, targets: DataFrame) -> DataFrame:
-    """``uses`` (repo, file, symbol) with ``container``: a router of the same file, else what the symbol's import leads to; else null."""
+def _resolve(uses: DataFrame, routers: DataFrame, defaults: DataFrame, imports: DataFrame) -> DataFrame:
+    """``uses`` (repo, file, symbol) with ``container``: a router of the same file, else what the symbol's import leads to; else null.
+
+    Only imports of symbols that are used get their targets, eight for each.
+    """
     keys = uses.select("repo", "file", "symbol").distinct()
     own = keys.join(routers.select("repo", "file", "symbol"), ["repo", "file", "symbol"], "left_semi").select("*", F.concat_ws("::", "file", "symbol").alias("container"), F.lit(-1).alias("priority"))
-    far = keys.join(targets.withColumnRenamed("name", "symbol"), ["repo", "file", "symbol"])
+    used = imports.join(keys.withColumnRenamed("symbol", "name"), ["repo", "file", "name"], "left_semi")
+    far = import_targets(used).withColumnRenamed("name", "symbol")
     by_default = far.join(defaults.select("repo", F.col("file").alias("target"), F.col("symbol").alias("exported")), ["repo", "target"]).withColumn("wanted", F.col("exported")).drop("exported")
     either = by_default.withColumn("priority", F.col("priority") * 2).unionByName(far.select("repo", "target", "file", "symbol", (F.col("priority") * 2 + 1).alias("priority"), F.col("symbol").alias("wanted")))
     there = routers.select("repo", F.col("file").alias("target"), F.col("symbol").alias("wanted"))
@@ -46,17 +50,17 @@ def router_graph(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     of = lambda kind: facts.filter(F.col("kind") == kind)
     routers = of("router").select("repo", "file", F.col("name").alias("symbol")).distinct()
     defaults = of("export").filter("method = 'default'").groupBy("repo", "file").agg(F.max_by("name", "line").alias("symbol"))
-    targets = import_targets(of("import"))
+    imports = of("import")
     scoped = lambda c: F.concat_ws("|", "repo", c)
-    declared = _resolve(of("route_call").withColumnRenamed("receiver", "symbol"), routers, defaults, targets).select(
+    declared = _resolve(of("route_call").withColumnRenamed("receiver", "symbol"), routers, defaults, imports).select(
         F.xxhash64("repo", "file", "line", "pos").alias("decl_id"), "repo", "file", "line", "pos", F.col("name").alias("handler"), "snippet", "method", "path",
         scoped(F.coalesce("container", F.concat_ws("::", "file", "symbol"))).alias("container"),
     )
     calls = of("mount_call")
-    parents = _resolve(calls.withColumnRenamed("receiver", "symbol"), routers, defaults, targets).select(
+    parents = _resolve(calls.withColumnRenamed("receiver", "symbol"), routers, defaults, imports).select(
         "repo", "file", "line", "pos", "path", F.col("name").alias("symbol"), "snippet", scoped(F.coalesce("container", F.concat_ws("::", "file", "symbol"))).alias("parent")
     )
-    mounts = _resolve(parents, routers, defaults, targets).select(
+    mounts = _resolve(parents, routers, defaults, imports).select(
         F.xxhash64("repo", "file", "line", "pos").alias("mount_id"), "parent", F.when(F.col("container").isNotNull(), scoped("container")).alias("child"), F.col("path").alias("prefix"), "file", "line", "symbol", "snippet"
     )
     return declared, mounts
@@ -65,7 +69,8 @@ def router_graph(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
 def discover(files: DataFrame) -> DataFrame:
     """Routes of repositories (repo, path, text): declared ones and those composed from mounts, merged, low-quality ones dropped."""
     declared = tables.declared_routes(files).withColumn("_way", F.array().cast("array<bigint>")).drop("framework")
-    declarations, mounts = map(cut, router_graph(cut(tables.route_facts(files))))
+    facts = tables.route_facts(files).filter("kind <> 'literal'")  # nothing is composed of literals
+    declarations, mounts = map(cut, router_graph(cut(facts)))
     composed = graph.compose_routes(declarations, mounts).join(declarations.select("decl_id", "repo", "file", "line", "pos", "handler", "snippet"), "decl_id")
     rows = composed.select(
         "pos", "line", F.col("chain").alias("_way"), "method", F.col("full_path").alias("path"), "handler", "file", "repo", F.lit(None).cast("string").alias("service"),
@@ -74,7 +79,8 @@ def discover(files: DataFrame) -> DataFrame:
     )
     every = declared.unionByName(rows)
     cols = [F.col(c) for c in ("file", "repo", "method", "path", "handler", "confidence", "evidence")]
-    good = every.withColumn("_why", ev.reject_reason(*cols)).filter("_why IS NULL").drop("_why")
+    # the merge looks at its candidates several times; files are parsed once
+    good = cut(every.withColumn("_why", ev.reject_reason(*cols)).filter("_why IS NULL").drop("_why"))
     # declared routes come before composed ones, each by file and place
     stage = F.concat_ws(":", F.when(F.col("status") == "deterministic", "0").otherwise("1"), "file")
     placed = relational.numbered(good.withColumn("_part", stage), ["repo"], "_part", [F.col("line"), F.col("pos"), F.col("path"), F.col("_way")])

@@ -1,13 +1,31 @@
 """What grows with the tables: texts are parsed once and by many tasks, and pairs that no result has are never rows."""
 
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
 from routeloom.operators import contracts, relational
+from routeloom.plans import code_queries, discovery
+
+SF = "/root/testdata/sf0.001"
+needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+
 
 def _plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+@needs_tables
+def test_texts_are_dealt_out_before_they_are_parsed(spark):
+    assert code_queries._files(spark, SF, code_queries.SCRIPT, ".ts", "part", "p_partkey").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_the_merge_of_discovered_routes_does_not_parse_again(spark):
+    files = spark.createDataFrame([("r", "src/a.js", "app.get('/x', h)\n")], "repo string, path string, text string")
+    assert "MapInArrow" not in _plan(discovery.discover(files))
+
+
 def test_endpoints_are_counted_as_they_are_looked_up(spark):
     endpoints = spark.createDataFrame(
         [(1, "b", "f", "POST", "/a", "pay", 1.0), (2, "c", "f", "POST", "/a/", None, 0.8), (3, "b", "g", None, "/a", "pay", None), (4, "b", "g", "GET", "/b", "pay", 0.9), (5, "c", "g", "GET", "/b", None, 0.7), (6, "c", "g", "GET", None, None, 0.7)],

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routeloom.extract import tables
@@ -95,25 +95,32 @@ def resolve_handlers(endpoints: DataFrame, symbols: DataFrame, imports: DataFram
     function, the only exported one, the only one outside of test folders, the first of these for a transfer of files, or the only exported symbol.
     """
     wanted = endpoints.select("repo", "file", "handler").filter("handler IS NOT NULL").distinct()
-    keyed = wanted.withColumn("_root", F.substring_index("handler", ".", 1)).withColumn("_member", F.substring_index("handler", ".", -1))
+    key = ["repo", "_tier", "_place", "_name"]
+    under = lambda tier, place, name: F.struct(F.lit(tier).alias("_tier"), place.alias("_place"), name.alias("_name"))
+    at, nowhere, dotted = F.col("target_file"), F.lit(""), lambda c: F.col(c).contains(".")
     s = symbols.select("repo", F.col("path").alias("target_file"), "name", "qualified_name", "kind", "start_line", F.col("export_kind").isNotNull().alias("exported"))
-    local = keyed.join(s.withColumnRenamed("target_file", "file").filter("kind = 'function'"), ["repo", "file"]).filter("name = handler").withColumn("target_file", F.col("file")).withColumn("tier", F.lit(0))
-    far = keyed.join(import_targets(imports).withColumnRenamed("name", "_root"), ["repo", "file", "_root"]).join(s.withColumnRenamed("target_file", "target"), ["repo", "target"])
-    far = far.filter("(handler = _root AND name = handler AND kind IN ('function', 'class')) OR (handler <> _root AND qualified_name = handler)").withColumn("target_file", F.col("target")).withColumn("tier", F.lit(1))
-    named = keyed.join(
-        s.select("repo", "target_file", "start_line", "kind", "exported", F.explode(F.array_distinct(F.array("name", "qualified_name"))).alias("handler")), ["repo", "handler"]
-    ).withColumn("tier", F.lit(2))
-    cols = ["repo", "file", "handler", "target_file", "start_line", "kind", "exported", "tier"]
-    every = local.select(*cols).unionByName(far.select(*cols)).unionByName(named.select(*cols))
-    best = every.withColumn("_top", F.min("tier").over(Window.partitionBy("repo", "file", "handler"))).filter("tier = _top").distinct()
+    # a symbol under each of its keys, and for each key what its symbols come to: a name of many symbols meets many handlers as one row
+    keys = F.array(
+        F.when(F.col("kind") == "function", under(0, at, F.col("name"))),
+        F.when(F.col("kind").isin("function", "class") & ~dotted("name"), under(1, at, F.col("name"))), F.when(dotted("qualified_name"), under(1, at, F.col("qualified_name"))),
+        under(2, nowhere, F.col("name")), F.when(~F.col("qualified_name").eqNullSafe(F.col("name")), under(2, nowhere, F.col("qualified_name"))),
+    )
+    keyed = s.select("repo", "target_file", "start_line", "kind", "exported", F.explode(F.filter(keys, lambda k: k["_name"].isNotNull())).alias("k"))
     place = F.struct("target_file", "start_line")
     function, outside = F.col("kind") == "function", ~F.concat(F.lit("/"), "target_file").contains("/tests/")
     ties = {"fn": function, "shared": function & F.col("exported"), "outside": function & outside, "public": F.col("exported")}
-    counted = best.groupBy("repo", "file", "handler").agg(
-        F.count(F.lit(1)).alias("candidates"), F.min(place).alias("t"), F.min("tier").alias("tier"),
-        *[x for n, c in ties.items() for x in (F.count_if(c).alias(f"_n_{n}"), F.min(F.when(c, place)).alias(f"_{n}"))],
+    known = keyed.select("repo", "k.*", "target_file", "start_line", "kind", "exported").repartition(*key).distinct().groupBy(*key).agg(
+        F.count(F.lit(1)).alias("candidates"), F.min(place).alias("t"), *[x for n, c in ties.items() for x in (F.count_if(c).alias(f"_n_{n}"), F.min(F.when(c, place)).alias(f"_{n}"))],
     )
-    out = wanted.join(counted, ["repo", "file", "handler"], "left")
+    asked = wanted.select("*", F.explode(F.array(under(0, F.col("file"), F.col("handler")), under(2, nowhere, F.col("handler")))).alias("k")).select("repo", "file", "handler", "k._tier", "k._place", "k._name")
+    root = F.substring_index("handler", ".", 1)
+    far = import_targets(wanted.withColumn("name", root).join(imports.select("repo", "file", "name", "path"), ["repo", "file", "name"]), "handler").select(
+        "repo", "file", "handler", F.lit(1).alias("_tier"), F.col("target").alias("_place"), F.col("handler").alias("_name")
+    ).distinct()
+    stats = {"candidates": F.sum, "t": F.min, **{c: f for n in ties for c, f in ((f"_n_{n}", F.sum), (f"_{n}", F.min))}}
+    found = asked.unionByName(far).join(known, key, "left").groupBy("repo", "file", "handler", "_tier").agg(*[f(c).alias(c) for c, f in stats.items()])
+    best = F.min(F.when(F.col("candidates").isNotNull(), F.struct(F.col("_tier").alias("tier"), *stats)))
+    out = found.groupBy("repo", "file", "handler").agg(best.alias("b")).select("repo", "file", "handler", "b.*")
     open_ = (F.col("candidates") > 1) & (F.col("tier") == 2)
     if break_ties:
         transfer = F.lower("handler").rlike("^(upload|download|putobject)")

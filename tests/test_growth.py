@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from routeloom.operators import contracts, relational
 from routeloom.plans import code_queries, discovery
+from routeloom.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -26,6 +27,25 @@ def test_the_merge_of_discovered_routes_does_not_parse_again(spark):
     assert "MapInArrow" not in _plan(discovery.discover(files))
 
 
+@needs_tables
+def test_handlers_are_resolved_in_one_reading_of_symbols_and_one_of_imports(spark):
+    assert _plan(QUERIES["resolve_handlers"](spark, SF)).count("MapInArrow") == 2
+
+
+def test_handlers_with_many_candidates(spark):
+    symbols = spark.createDataFrame(
+        [("r", "a.ts", "f", "f", "function", 1, None), ("r", "a.ts", "f", "f", "function", 9, None), ("r", "b.ts", "C", "C", "class", 1, "named"), ("r", "b.ts", "run", "C.run", "class_method", 2, "named"), ("r", "c.ts", "run", "D.run", "class_method", 2, None)],
+        "repo string, path string, name string, qualified_name string, kind string, start_line long, export_kind string",
+    )
+    imports = spark.createDataFrame([("r", "x.ts", "C", "./b"), ("r", "x.ts", "C", "./b"), ("r", "x.ts", "run", "./c"), ("r", "y.ts", "f", "./a")], "repo string, file string, name string, path string")
+    asked = [("r", "a.ts", "f"), ("r", "x.ts", "C"), ("r", "x.ts", "C.run"), ("r", "x.ts", "run"), ("r", "y.ts", "f"), ("r", "z.ts", "D.run"), ("r", "z.ts", "no"), (None, "z.ts", "f"), ("r", "z.ts", None)]
+    got = {(r["repo"], r["file"], r["handler"]): (r["status"], r["target_file"], r["start_line"], r["candidates"]) for r in discovery.resolve_handlers(spark.createDataFrame(asked, "repo string, file string, handler string"), symbols, imports).collect()}
+    assert got == {
+        ("r", "a.ts", "f"): ("resolved", "a.ts", 1, 2), ("r", "x.ts", "C"): ("resolved", "b.ts", 1, 1), ("r", "x.ts", "C.run"): ("resolved", "b.ts", 2, 1), ("r", "x.ts", "run"): ("ambiguous", "b.ts", 2, 2),
+        ("r", "y.ts", "f"): ("resolved", "a.ts", 1, 2), ("r", "z.ts", "D.run"): ("resolved", "c.ts", 2, 1), ("r", "z.ts", "no"): ("unresolved", None, None, 0), (None, "z.ts", "f"): ("unresolved", None, None, 0),
+    }
+
+
 def test_endpoints_are_counted_as_they_are_looked_up(spark):
     endpoints = spark.createDataFrame(
         [(1, "b", "f", "POST", "/a", "pay", 1.0), (2, "c", "f", "POST", "/a/", None, 0.8), (3, "b", "g", None, "/a", "pay", None), (4, "b", "g", "GET", "/b", "pay", 0.9), (5, "c", "g", "GET", "/b", None, 0.7), (6, "c", "g", "GET", None, None, 0.7)],

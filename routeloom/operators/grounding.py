@@ -174,7 +174,8 @@ def told_sinks(answers: DataFrame) -> DataFrame:
 
 def flow_confidence(answers: DataFrame, steps: DataFrame, sinks: DataFrame) -> DataFrame:
     """``flow_id, confidence``: what an answer says of itself, else the mean over its steps and sinks that have one, else null."""
-    said = answers.select("flow_id", confidence(number_field(text.json_payload(F.col("answer")), "confidence")).alias("_said"))
-    every = steps.select("flow_id", "confidence", "dropped").unionByName(sinks.select("flow_id", "confidence", "dropped")).filter("dropped IS NULL")
-    mean = every.groupBy("flow_id").agg(F.avg("confidence").alias("_mean"))
-    return said.join(mean, "flow_id", "left").select("flow_id", F.coalesce("_said", "_mean").alias("confidence"))
+    said = answers.select("flow_id", F.struct(confidence(number_field(text.json_payload(F.col("answer")), "confidence")).alias("c")).alias("said"), F.lit(None).cast("double").alias("confidence"))
+    of = lambda df: df.filter("dropped IS NULL").select("flow_id", F.lit(None).cast("struct<c:double>").alias("said"), "confidence")
+    # one shuffle and no join; a flow has as many rows as answers
+    every = said.unionByName(of(steps)).unionByName(of(sinks)).groupBy("flow_id").agg(F.collect_list("said").alias("said"), F.avg("confidence").alias("_mean"))
+    return every.select("flow_id", "_mean", F.explode("said").alias("s")).select("flow_id", F.coalesce("s.c", "_mean").alias("confidence"))

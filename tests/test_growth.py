@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from routeloom.operators import contracts, relational
+from routeloom.operators import contracts, grounding, relational
 from routeloom.plans import code_queries, discovery
 from routeloom.plans.queries import QUERIES
 
@@ -67,3 +67,12 @@ def test_a_route_meets_one_contract_of_its_path_and_one_of_its_method(spark):
     matched = contracts.match_contract(routes, made)
     assert sorted(tuple(r) for r in matched.collect()) == [(1, 2, "exact"), (2, 1, "path_only"), (3, 1, "path_only"), (4, None, None), (5, None, None)]
     assert _plan(matched).count("Aggregate") > 2  # contracts become firsts before they are joined
+
+
+def test_confidence_of_a_flow_takes_no_join(spark):
+    answer = '{"steps": [{"name": "db.add(x)", "confidence": 0.5}], "sinks": [{"name": "t", "confidence": 1.0}]%s}'
+    a = spark.createDataFrame([(1, "r", None, answer % ""), (2, "r", None, answer % ', "confidence": 0.9'), (2, "r", None, answer % ""), (3, "r", None, "{}"), (4, "r", None, None)], "flow_id long, repo string, code string, answer string")
+    got = grounding.flow_confidence(a, grounding.told_steps(a), grounding.told_sinks(a))
+    assert sorted((r["flow_id"], r["confidence"]) for r in got.collect() if r["flow_id"] < 3) == [(1, 0.75), (2, 0.75), (2, 0.9)]
+    assert sorted((r["flow_id"], r["confidence"]) for r in got.collect() if r["flow_id"] > 2) == [(3, None), (4, None)]
+    assert "Join" not in _plan(got)

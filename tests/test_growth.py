@@ -76,3 +76,33 @@ def test_confidence_of_a_flow_takes_no_join(spark):
     assert sorted((r["flow_id"], r["confidence"]) for r in got.collect() if r["flow_id"] < 3) == [(1, 0.75), (2, 0.75), (2, 0.9)]
     assert sorted((r["flow_id"], r["confidence"]) for r in got.collect() if r["flow_id"] > 2) == [(3, None), (4, None)]
     assert "Join" not in _plan(got)
+
+
+def test_the_links_of_one_key_are_dealt_out_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(relational, "STREAMED", 32, raising=False)
+    monkeypatch.setattr(relational, "HELD", 8, raising=False)
+    endpoints = spark.range(1, 31, 1, 1).selectExpr("id AS ord", "'r' AS repo", "concat('f', id % 20) AS file", "'GET' AS method", "IF(id % 2 = 0, '/a', '/a/') AS path", "string(null) AS service", "0.5D AS confidence")
+    calls = spark.range(0, 200, 1, 1).selectExpr("id AS call_id", "'get' AS method", "'/a' AS path", "string(null) AS service", "0.5D AS confidence")
+    links = relational.link_calls(calls, endpoints)
+    got = sorted((r["call_id"], r["target_id"], r["matches"], r["ambiguous"], r["confidence"]) for r in links.collect())
+    assert got == sorted((c, f"r:f{e % 20}:GET:/a", 30, True, 0.5) for c in range(200) for e in range(1, 31))
+    assert links.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_the_strongest_of_a_key_come_from_any_spelling(spark):
+    schema = "ord long, repo string, file string, method string, path string, service string, confidence double"
+    endpoints = spark.createDataFrame(
+        [(1, "b", "f", "POST", "/a", None, 0.5), (2, "b", "g", "post", "/a/", None, 0.9), (3, "c", "f", "POST", "a", "pay", 0.7), (4, "b", "f", "GET", "/b", None, -1.0), (5, None, None, "get", "/b/", None, None), (6, "b", "f", "PUT", "/c", None, 0.9), (7, "b", "f", "PUT", "/c", None, 0.9)],
+        schema,
+    )
+    calls = spark.createDataFrame([(1, "post", "/a", None, 0.5), (2, None, "/a", "pay", 0.5), (3, "get", "/b", None, 0.5), (4, "put", "/c", None, 0.5)], "call_id long, method string, path string, service string, confidence double")
+    got = sorted((r["call_id"], r["target_id"], r["ambiguous"], r["matches"]) for r in relational.link_calls(calls, endpoints).collect())
+    assert got == [
+        (1, "b:g:POST:/a", False, 3), (2, "c:f:POST:/a", False, 1), (3, "::GET:/b", True, 2), (3, "b:f:GET:/b", True, 2), (4, "b:f:PUT:/c", True, 2), (4, "b:f:PUT:/c", True, 2)
+    ]
+
+
+@needs_tables
+def test_endpoints_of_links_are_read_by_spelling_not_by_row(spark):
+    asked = [line for line in _plan(QUERIES["link_calls"](spark, SF)).splitlines() if "Filter" in line and "regexp" in line]
+    assert all("(n#" in line for line in asked)

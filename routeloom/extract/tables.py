@@ -58,6 +58,11 @@ def route_facts(files: DataFrame) -> DataFrame:
     return per_file(files.withColumnRenamed("path", "file"), routes.route_facts, "kind string, line long, receiver string, method string, path string, name string, snippet string", ("repo", "file"))
 
 
+def imports(files: DataFrame) -> DataFrame:
+    """The imports among :func:`route_facts`; other lines are not read."""
+    return per_file(files.withColumnRenamed("path", "file"), routes.imports, "line long, path string, name string", ("repo", "file"))
+
+
 #: Which parser reads the symbols of a file, by its suffix; add a language here.
 SYMBOL_PARSERS: dict[str, Callable[[str], list[dict]]] = dict.fromkeys((".ts", ".tsx", ".js", ".jsx"), symbols.js_symbols)
 

@@ -265,7 +265,7 @@ def import_targets(spark, sf_dir):
 def resolve_handlers(spark, sf_dir):
     files = _files(spark, sf_dir, SCRIPT, ".ts", "part", "p_partkey")
     asked = files.select("repo", F.col("path").alias("file"), F.explode(F.array(F.concat(F.lit("local"), "k"), F.concat(F.lit("ctl.show"), F.col("k") % 4))).alias("handler"))
-    found = discovery.resolve_handlers(asked, tables.js_symbols(files), tables.route_facts(files).filter("kind = 'import'"))
+    found = discovery.resolve_handlers(asked, tables.js_symbols(files), tables.imports(files))
     return found.select("repo", "file", "handler", "status", "target_file", "start_line")
 
 

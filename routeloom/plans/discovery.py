@@ -114,11 +114,12 @@ def resolve_handlers(endpoints: DataFrame, symbols: DataFrame, imports: DataFram
     )
     asked = wanted.select("*", F.explode(F.array(under(0, F.col("file"), F.col("handler")), under(2, nowhere, F.col("handler")))).alias("k")).select("repo", "file", "handler", "k._tier", "k._place", "k._name")
     root = F.substring_index("handler", ".", 1)
-    far = import_targets(wanted.withColumn("name", root).join(imports.select("repo", "file", "name", "path"), ["repo", "file", "name"]), "handler").select(
+    # neither side is broadcast: by their plans a few bytes of a table become texts and rows of them, so all sizes are guessed too small
+    far = import_targets(wanted.withColumn("name", root).join(imports.select("repo", "file", "name", "path").hint("merge"), ["repo", "file", "name"]), "handler").select(
         "repo", "file", "handler", F.lit(1).alias("_tier"), F.col("target").alias("_place"), F.col("handler").alias("_name")
     ).distinct()
     stats = {"candidates": F.sum, "t": F.min, **{c: f for n in ties for c, f in ((f"_n_{n}", F.sum), (f"_{n}", F.min))}}
-    found = asked.unionByName(far).join(known, key, "left").groupBy("repo", "file", "handler", "_tier").agg(*[f(c).alias(c) for c, f in stats.items()])
+    found = asked.unionByName(far).join(known.hint("merge"), key, "left").groupBy("repo", "file", "handler", "_tier").agg(*[f(c).alias(c) for c, f in stats.items()])
     best = F.min(F.when(F.col("candidates").isNotNull(), F.struct(F.col("_tier").alias("tier"), *stats)))
     out = found.groupBy("repo", "file", "handler").agg(best.alias("b")).select("repo", "file", "handler", "b.*")
     open_ = (F.col("candidates") > 1) & (F.col("tier") == 2)

@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from routeloom.extract import routes
 from routeloom.operators import contracts, grounding, relational
 from routeloom.plans import code_queries, discovery
 from routeloom.plans.queries import QUERIES
@@ -32,6 +33,18 @@ def test_handlers_are_resolved_in_one_reading_of_symbols_and_one_of_imports(spar
     assert _plan(QUERIES["resolve_handlers"](spark, SF)).count("MapInArrow") == 2
 
 
+@needs_tables
+def test_no_side_of_handlers_is_broadcast_whatever_its_size_is_guessed(spark):
+    assert "BroadcastExchange" not in QUERIES["resolve_handlers"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_imports_are_those_among_the_facts():
+    text = "import { save, load as get } from './a'\nimport b from \"./b\"; import c from './c'\n// import d from './d'\nx = 'import e from'\nexport default b\n  import {} from 'f'\nimportant()\n\napp.get('/x', h)\n"
+    facts = [{k: r[k] for k in ("line", "path", "name")} for r in routes.route_facts(text) if r["kind"] == "import"]
+    assert [{k: r[k] for k in ("line", "path", "name")} for r in routes.imports(text)] == facts
+    assert [r["name"] for r in facts] == ["save", "get", "b", "c"]
+
+
 def test_handlers_with_many_candidates(spark):
     symbols = spark.createDataFrame(
         [("r", "a.ts", "f", "f", "function", 1, None), ("r", "a.ts", "f", "f", "function", 9, None), ("r", "b.ts", "C", "C", "class", 1, "named"), ("r", "b.ts", "run", "C.run", "class_method", 2, "named"), ("r", "c.ts", "run", "D.run", "class_method", 2, None)],

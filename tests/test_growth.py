@@ -102,6 +102,27 @@ def test_the_links_of_one_key_are_dealt_out_in_tiles(spark, monkeypatch):
     assert links.select(F.spark_partition_id().alias("p")).distinct().count() > 1
 
 
+def test_calls_meet_endpoints_as_arrays(spark, monkeypatch):
+    monkeypatch.setattr(relational, "STREAMED", 16)
+    monkeypatch.setattr(relational, "HELD", 8)
+    ends = [(i, "r", f"f{i % 3}", ("GET", "PUT", None)[i % 3], "/a", ("pay", None)[i % 2], (0.5, 0.6, None)[i % 3]) for i in range(40)]
+    asks = [(i, ("get", "a put", "head", None)[i % 4], "//a/?q" if i % 2 else "/a", ("pay", "none")[i % 2], (None, 0.0, 0.3, 0.9)[i // 4 % 4]) for i in range(60)]
+    endpoints = spark.createDataFrame(ends, "ord long, repo string, file string, method string, path string, service string, confidence double")
+    calls = spark.createDataFrame([*asks, asks[0]], "call_id long, method string, path string, service string, confidence double")
+    want = []
+    for c, m, _, s, cc in [*asks, asks[0]]:
+        verb = {"get": "GET", "a put": "PUT"}.get(m)
+        hits = [e for e in ends if e[3] == verb] if verb else ends
+        hits = [e for e in hits if e[5] == s] if s == "pay" else hits
+        for _, r, f, em, p, _, ec in hits:
+            score = None if cc is None and ec is None else min(0.95, max(0.0, ((cc or 0.45) + (ec or 0.45)) / 2))
+            want.append((c, f"{r}:{f}:{em or 'ANY'}:{p}", "exact_method_path" if verb else "path_only", verb, p, len(hits), True, score))
+    links = relational.link_calls(calls, endpoints)
+    got = [(r["call_id"], r["target_id"], r["link_type"], r["method"], r["path"], r["matches"], r["ambiguous"], r["confidence"]) for r in links.collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert "inline(" in _plan(links)
+
+
 def test_the_strongest_of_a_key_come_from_any_spelling(spark):
     schema = "ord long, repo string, file string, method string, path string, service string, confidence double"
     endpoints = spark.createDataFrame(

@@ -140,3 +140,8 @@ def test_the_strongest_of_a_key_come_from_any_spelling(spark):
 def test_endpoints_of_links_are_read_by_spelling_not_by_row(spark):
     asked = [line for line in _plan(QUERIES["link_calls"](spark, SF)).splitlines() if "Filter" in line and "regexp" in line]
     assert all("(n#" in line for line in asked)
+
+
+@needs_tables
+def test_the_lookups_of_links_are_planned_once(spark):
+    assert "Window" not in _plan(QUERIES["link_calls"](spark, SF))  # the strongest of each key are known by then
